@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import mixing, packing, secrets, simhash, toxicity
+from tideline.llm import ann, media, mixing, packing, quality, secrets, simhash, suffixes, toxicity, urlrules
 from tideline.llm._shared import table
 
 
@@ -15,6 +15,30 @@ def token_files() -> dict:
     return {"vocab": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
+                        "feature", "width", "height")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlrules.judge(pages, urlrules.mine(pages, table(spark, sf_dir, "labels")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.calibrated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"),
@@ -46,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mixing, op5_toxicity, op8_packing, op9_simhash, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_ann, op2_suffixes, op3_media, op4_mixing, op5_toxicity, op6_quality, op7_urls, op8_packing, op9_simhash, op10_secrets, pipeline)}
 
 
 def _raking_sql(rounds: int = 12) -> str:
