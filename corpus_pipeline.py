@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 from tideline.llm import mixing, packing, secrets, simhash, toxicity
 from tideline.llm._shared import durable, table
 from tideline.llm.queries import token_files
+from tideline.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
     return docs.select(*[c for c in COLUMNS if c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain rejects go."""
+    docs = _columns(docs)
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
-    return toxicity.drop_toxic(_columns(docs), chain)
+    return toxicity.drop_toxic(docs, chain)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, **token_files())
+    return packing.pack(_columns(docs), **token_files())
 
 
 STAGES = [

@@ -173,7 +173,7 @@ def _classes(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96, max_lists: int = 2048, per_sample: int = 32,
-           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float = 0.35, least: int = 12,
+           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float = 0.4, least: int = 16,
            block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest by inner product of each row whose id is divisible by ``every``, found among all rows.
 
@@ -199,14 +199,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96,
     picked = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "v").limit(per_sample * n_lists).select("v").collect()
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in picked), dtype=np.float64).reshape(-1, dim)
     lists = build_lists(sample, n_lists, float(np.sqrt(norm2)))
-    shared = spark.sparkContext.broadcast(lists)  # bounded by max_lists
+    shared = spark.sparkContext.broadcast(vars(lists))  # bounded by max_lists
 
     def assign(choose):
         def run(batches):
+            known = Lists(**shared.value)
             for batch in batches:
                 for low in range(0, batch.num_rows, 512):
                     part = batch.slice(low, 512)
-                    ids, keep = choose(shared.value, _matrix(part.column(1), dim))
+                    ids, keep = choose(known, _matrix(part.column(1), dim))
                     at, j = np.nonzero(keep)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[at, j], pa.int64()), *[part.column(c).take(pa.array(at)) for c in range(part.num_columns)]],

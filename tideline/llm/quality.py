@@ -14,6 +14,8 @@ _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[9, 10, 11, 12, 13, 32]] = True
 _PLACES = np.random.default_rng(17).integers(1, 2**32, size=64, dtype=np.uint64).astype(np.uint32) | 1
 
+_REPEAT = np.array([0x52455045], dtype=np.uint32)
+
 
 def _mix(h: np.ndarray, bits: int) -> np.ndarray:
     h = h ^ (h >> np.uint32(15))
@@ -22,7 +24,8 @@ def _mix(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def buckets(raw: bytes, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5)):
-    """Yield arrays of bucket numbers: the n-grams of each size inside words, word borders as blanks, then the words."""
+    """Yield arrays of bucket numbers: the n-grams of each size inside words, word borders as blanks, then the words, and a
+    fixed one for every word that is the same as the one before it."""
     b = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
     gap = _BREAKS[b]
     b = np.where(gap, np.uint8(32), b).astype(np.uint32) + np.uint32(1)
@@ -41,7 +44,11 @@ def buckets(raw: bytes, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5)):
     if len(starts):
         at = np.arange(len(b)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
         value = np.where(gap, np.uint32(0), b * _PLACES[at & 63])
-        yield _mix(np.add.reduceat(value, starts, dtype=np.uint32) + (stops - starts).astype(np.uint32), bits)
+        words = np.add.reduceat(value, starts, dtype=np.uint32) + (stops - starts).astype(np.uint32)
+        yield _mix(words, bits)
+        again = int((words[1:] == words[:-1]).sum())
+        if again:
+            yield np.full(again, _mix(_REPEAT, bits)[0])
 
 
 def bag(raw: bytes, bits: int = 16) -> np.ndarray:

@@ -15,11 +15,17 @@ _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256
 _UPPER = bytes(range(65, 91))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 N_SURFACE = 3
+STEMS = (4, 5, 6)
 
 
 def word_ids(raw: bytes) -> np.ndarray:
-    """Sorted CRC-32 values of the distinct lower-case words of a whole text."""
+    """Sorted CRC-32 values of the distinct lower-case words of a whole text and of their stems.
+
+    A stem is the first 4, 5 or 6 bytes of a word, marked by ``~``, so endings don't hide a word.
+    """
     words = set(raw.lower().translate(_WORD_BYTES).split())
+    for size in STEMS:
+        words |= {w[:size] + b"~" for w in words if len(w) >= size and w[-1] != 126}
     return np.unique(np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)))
 
 
