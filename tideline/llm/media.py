@@ -31,7 +31,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode(payload: bytes, level: int = 1) -> bytes:
+def encode(payload: bytes, level: int = 6) -> bytes:
     """A PNG of 8-bit grey samples, 576 wide; equal payloads give equal bytes."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)  # a leading 0 a line: no filter
