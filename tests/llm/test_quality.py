@@ -73,3 +73,10 @@ def test_buckets_are_those_of_a_plain_loop():
     a = np.concatenate(list(quality.buckets(b"same words here")))
     b = np.concatenate(list(quality.buckets(b" same\nwords  here ")))
     assert sorted(a) == sorted(np.concatenate(list(quality.buckets(b"same words here")))) and set(a) <= set(b)
+
+
+def test_a_repeated_word_counts_once_for_each_of_its_bytes():
+    once, thrice = (list(quality.buckets(t)) for t in (b"word other", b"word word word other other"))
+    repeat = quality._mix(quality._REPEAT, 16)[0]
+    assert sum((p == repeat).sum() for p in once) == 0
+    assert sum((p == repeat).sum() for p in thrice) == 2 * len(b"word") + len(b"other")

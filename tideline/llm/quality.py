@@ -25,7 +25,7 @@ def _mix(h: np.ndarray, bits: int) -> np.ndarray:
 
 def buckets(raw: bytes, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5)):
     """Yield arrays of bucket numbers: the n-grams of each size inside words, word borders as blanks, then the words, and a
-    fixed one for every word that is the same as the one before it."""
+    fixed one for every byte of a word that is the same as the one before it."""
     b = np.frombuffer(b" " + raw + b" ", dtype=np.uint8)
     gap = _BREAKS[b]
     b = np.where(gap, np.uint8(32), b).astype(np.uint32) + np.uint32(1)
@@ -46,7 +46,7 @@ def buckets(raw: bytes, bits: int = 16, sizes: tuple[int, ...] = (3, 4, 5)):
         value = np.where(gap, np.uint32(0), b * _PLACES[at & 63])
         words = np.add.reduceat(value, starts, dtype=np.uint32) + (stops - starts).astype(np.uint32)
         yield _mix(words, bits)
-        again = int((words[1:] == words[:-1]).sum())
+        again = int((stops - starts)[1:][words[1:] == words[:-1]].sum())
         if again:
             yield np.full(again, _mix(_REPEAT, bits)[0])
 
