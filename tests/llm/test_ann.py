@@ -68,3 +68,17 @@ def test_graph_search_finds_the_nearest_centroids():
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(true.tolist(), ids.tolist())]) > 0.97
     sizes = np.bincount(lists.nearest(lists.lift(x, False), 4)[0][:, 0], minlength=200)
     assert sizes.max() <= 5 * sizes.mean()
+
+
+def test_recall_holds_without_clusters_and_with_more_lists_than_probes(spark):
+    x = np.random.default_rng(2).normal(size=(4000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    want = brute(list(range(4000)), x.astype(np.float64))
+    got = ann.search(docs, per_list=20, probes=16, least=4, block=300, query_block=50).collect()
+    assert recall(got, want)[0] >= 0.9 and len(got) == sum(map(len, want.values()))
+
+
+def test_bundles_keep_every_list_and_cut_long_ones():
+    of, blocks = ann._bundles({0: 5, 1: 4, 2: 30, 4: 3}, 5, 10)
+    assert of.tolist() == [0, 0, 1, 1, 2] and blocks.tolist() == [1, 3, 1]

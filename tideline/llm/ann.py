@@ -82,9 +82,22 @@ class Lists:
         return ids, keep
 
     def lists_of_queries(self, q: np.ndarray, probes: int, ratio: float, least: int):
-        """The lists to search: those within ``1 + ratio`` times the distance of the nearest, ``least`` in any case."""
-        ids, d2 = self.nearest(self.lift(q, True), probes)
+        """The lists to search: those within ``1 + ratio`` times the distance of the nearest, ``least`` in any case.
+
+        The graph gives ``probes`` of them; where even the furthest of these is within the ratio, all centroids are measured.
+        """
+        x, n = self.lift(q, True), len(self.centroids)
+        ids, d2 = self.nearest(x, probes)
         d = np.sqrt(d2)
+        wide = (d[:, -1] <= (1 + ratio) * d[:, 0] + 1e-12) & (ids.shape[1] < n)
+        if wide.any():
+            c, y = self.centroids, x[wide]
+            every = np.sqrt(np.maximum((y * y).sum(axis=1)[:, None] - 2 * y @ c.T + (c * c).sum(axis=1), 0))
+            order = np.argsort(every, axis=1, kind="stable")
+            gap = n - ids.shape[1]
+            ids = np.pad(ids, ((0, 0), (0, gap)))
+            d = np.pad(d, ((0, 0), (0, gap)), constant_values=np.inf)
+            ids[wide], d[wide] = order, np.take_along_axis(every, order, 1)
         keep = (d <= (1 + ratio) * d[:, :1] + 1e-12) & np.isfinite(d)
         keep[:, :least] |= np.isfinite(d[:, :least])
         return ids, keep
@@ -172,15 +185,31 @@ def _classes(rows: DataFrame, keep: int) -> DataFrame:
     return some.groupBy("v", "part").agg(least()).groupBy("v").agg(least())
 
 
+def _bundles(held: dict[int, int], n_lists: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each list, and the row blocks of each bundle: lists in a row up to ``block`` vectors together, a
+    longer list alone in several blocks."""
+    of, blocks, room = np.zeros(n_lists, dtype=np.int64), [], 0
+    for i in range(n_lists):
+        n = held.get(i, 0)
+        if not blocks or n > room:
+            blocks.append(max(-(-n // block), 1))
+            room = max(block - n, 0) if n <= block else 0
+        else:
+            room -= n
+        of[i] = len(blocks) - 1
+    return of, np.array(blocks)
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96, max_lists: int = 2048, per_sample: int = 32,
-           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float = 0.4, least: int = 16,
-           block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float = 0.28, least: int = 16,
+           block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest by inner product of each row whose id is divisible by ``every``, found among all rows.
 
     Returns ``query_id, rank, vec_id, score``; ties go to the smaller id; a query never finds itself.  Centroids are
     fitted on at most ``per_sample * max_lists`` vectors; every vector is in a list.  Equal vectors are searched and
-    stored once.  A list is cut into blocks of about ``block`` vectors and queries, and each pair of blocks is a
-    task's group, so neither a large list nor a popular one is gathered whole.  Vectors that are null, zero, of a
+    stored once.  Lists are searched in bundles of about ``block`` vectors, a longer list in several blocks; with the
+    queries, in blocks of ``query_block``, each is a group of its own, so neither a large list nor a popular one is
+    gathered whole, and a query sends on ``k`` vectors a bundle.  Vectors that are null, zero, of a
     length other than the table's most frequent one, or hold null or non-finite components take no part, nor do
     rows without id.  An empty table gives no rows.
     """
@@ -201,56 +230,89 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96,
     lists = build_lists(sample, n_lists, float(np.sqrt(norm2)))
     shared = spark.sparkContext.broadcast(vars(lists))  # bounded by max_lists
 
-    def assign(choose):
-        def run(batches):
-            known = Lists(**shared.value)
-            for batch in batches:
-                for low in range(0, batch.num_rows, 512):
-                    part = batch.slice(low, 512)
-                    ids, keep = choose(known, _matrix(part.column(1), dim))
-                    at, j = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at, j], pa.int64()), *[part.column(c).take(pa.array(at)) for c in range(part.num_columns)]],
-                        names=["list", *part.schema.names])
-        return run
-
-    posts = classes.select("rep", "v", "ids").mapInArrow(
-        assign(lambda t, x: t.lists_of_vectors(x, replicas, slack)), "list long, rep long, v binary, ids array<long>")
-    posts = durable(posts, "ann-lists")
+    def into_lists(batches):
+        known = Lists(**shared.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                ids, keep = known.lists_of_vectors(_matrix(part.column(1), dim), replicas, slack)
+                at, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at, j], pa.int64()), *[part.column(c).take(pa.array(at)) for c in (1, 2)]],
+                                                 names=["list", "v", "ids"])
+
+    posts = durable(classes.select("rep", "v", "ids").mapInArrow(into_lists, "list long, v binary, ids array<long>"), "ann-lists")
+    held = {r["list"]: r["n"] for r in posts.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most max_lists
+    of, blocks = _bundles(held, len(lists.centroids), block)
+
+    def ask(batches):
+        known = Lists(**shared.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                ids, keep = known.lists_of_queries(_matrix(part.column(1), dim), probes, ratio, least)
+                at, j = np.nonzero(keep)
+                chosen = ids[at, j]
+                order = np.lexsort((chosen, of[chosen], at))
+                at, chosen = at[order], chosen[order]
+                bundle = of[chosen]
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (bundle[1:] != bundle[:-1])])
+                asked_lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)], pa.int32()), pa.array(chosen, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bundle[first], pa.int64()), asked_lists, *[part.column(c).take(pa.array(at[first])) for c in (0, 1)]],
+                    names=["bundle", "lists", "rep", "v"])
 
     asked = durable(_queries(rows, every), "ann-queries")
     wanted = asked.select("rep", "v").dropDuplicates(["rep"])
-    asks = durable(wanted.mapInArrow(assign(lambda t, x: t.lists_of_queries(x, probes, ratio, least)), "list long, rep long, v binary"), "ann-probes")
-
-    cells = posts.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).join(
-        asks.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("nq")), "list")
-    cells = F.broadcast(cells)  # a row per list, at most max_lists
-    one_of = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    asks = durable(wanted.mapInArrow(ask, "bundle long, lists array<long>, rep long, v binary"), "ann-probes")
+    popular = {r["bundle"]: r["n"] for r in asks.groupBy("bundle").agg(F.count("*").alias("n")).collect()}  # at most max_lists
+    cells = F.broadcast(spark.createDataFrame(
+        [(i, int(g), int(blocks[g]), -(-popular[g] // query_block)) for i, g in enumerate(of.tolist()) if g in popular],
+        "list long, bundle long, nb int, nq int"))
+    one_of = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asks.join(cells, "list").withColumn("i", one_of("nq", 1)).select("list", "i", all_of("nb").alias("j"), "rep", "v")
-    right = posts.join(cells, "list").withColumn("j", one_of("nb", 2)).select("list", all_of("nq").alias("i"), "j", "v", "ids")
+    left = asks.join(F.broadcast(cells.drop("list").distinct()), "bundle").withColumn("i", one_of("nq", "rep", F.lit(1))).select(
+        "bundle", "i", all_of("nb").alias("j"), "lists", "rep", "v")
+    right = posts.join(cells, "list").withColumn("j", one_of("nb", "v", F.lit(2))).select(
+        "bundle", all_of("nq").alias("i"), "j", "list", "v", "ids")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out = ([], [], [])
         if a.num_rows and b.num_rows:
+            b = b.sort_by("list")
             q, x = _matrix(a.column("v"), dim), _matrix(b.column("v"), dim)
-            ids = b.column("ids").to_pylist()
-            reps = a.column("rep").to_pylist()
-            top = min(k + 4, len(x))
+            ids, reps = b.column("ids").to_pylist(), a.column("rep").to_pylist()
+            names, starts = np.unique(b.column("list").to_numpy(), return_index=True)
+            stops = np.r_[starts[1:], len(x)]
+            wants = np.zeros((len(q), len(names)), dtype=bool)
+            who = np.repeat(np.arange(len(q)), [len(w) for w in a.column("lists").to_pylist()])
+            what = np.concatenate([np.asarray(w, dtype=np.int64) for w in a.column("lists").to_pylist()])
+            known = np.isin(what, names)
+            wants[who[known], np.searchsorted(names, what[known])] = True
+            top = (k + 4) * replicas  # a vector can be in so many lists of the bundle
             for low in range(0, len(q), 256):
                 part = q[low:low + 256]
-                rough = part @ x.T
-                best = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-                at = np.repeat(np.arange(len(part)), top)
-                exact = exact_scores(part[at], x[best.reshape(-1)]).reshape(-1, top)
+                near = np.full((len(part), top), -np.inf)
+                where = np.full((len(part), top), -1)
+                for n, (lo, hi) in enumerate(zip(starts, stops)):
+                    rows_of = np.flatnonzero(wants[low:low + 256, n])
+                    if not len(rows_of):
+                        continue
+                    rough = part[rows_of] @ x[lo:hi].T
+                    m = min(k + 4, hi - lo)
+                    best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+                    score = np.hstack([near[rows_of], np.take_along_axis(rough, best, 1)])
+                    place = np.hstack([where[rows_of], best + lo])
+                    stay = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                    near[rows_of], where[rows_of] = np.take_along_axis(score, stay, 1), np.take_along_axis(place, stay, 1)
+                exact = exact_scores(np.repeat(part, top, axis=0), x[where.reshape(-1)]).reshape(-1, top)
                 for i in range(len(part)):
-                    found = sorted((-s, v) for s, c in zip(exact[i].tolist(), best[i].tolist()) for v in ids[c])[:k + 1]
+                    found = sorted({(-s, v) for s, c in zip(exact[i].tolist(), where[i].tolist()) if c >= 0 for v in ids[c]})[:k + 1]
                     out[0].extend([reps[low + i]] * len(found))
                     out[1].extend(v for _, v in found)
                     out[2].extend(-s for s, _ in found)
         return pa.table({"rep": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    keys = ["list", "i", "j"]
+    keys = ["bundle", "i", "j"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "rep long, vec_id long, score double")
     ranked = met.groupBy("rep", "vec_id").agg(F.max("score").alias("score")).groupBy("rep").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
