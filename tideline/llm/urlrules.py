@@ -73,7 +73,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_co
         F.concat(tokens(F.col("url")), F.when(F.col("_bad") == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     examples = durable(examples, "url-examples")
     n = examples.count()
-    support = max(min_support, least_rows / n) if n else 1.0
+    support = max(min_support, (least_rows - 0.5) / n) if n else 1.0  # the half keeps rounding from asking for one row more
     schema = "rule_id long, items array<string>, confidence double, support double"
     if not n or support > 1:
         return pages.sparkSession.createDataFrame([], schema)
