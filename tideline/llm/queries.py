@@ -1,4 +1,4 @@
-"""The registered queries of this package and, where SQL can express them, their SQL."""
+"""The registered queries of this package; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tideline.llm import ann, media, mixing, packing, quality, secrets, simhash, suffixes, toxicity, urlrules
 from tideline.llm._shared import table
+from tideline.llm.oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 
 def token_files() -> dict:
@@ -71,38 +74,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_ann, op2_suffixes, op3_media, op4_mixing, op5_toxicity, op6_quality, op7_urls, op8_packing, op9_simhash, op10_secrets, pipeline)}
-
-
-def _raking_sql(rounds: int = 12) -> str:
-    state = "select source, lang, topic, tokens, tokens::double as w from cells"
-    steps = [f"s0 as ({state})"]
-    n = 0
-    for _ in range(rounds):
-        for d in mixing.DIMENSIONS:
-            n += 1
-            steps.append(f"s{n} as (select s.source, s.lang, s.topic, s.tokens, s.w * t.share * (select sum(tokens) from cells)"
-                         f" / sum(s.w) over (partition by s.{d}) as w from s{n - 1} s join t_{d} t on t.{d} = s.{d})")
-    return ",\n".join(steps), f"s{n}"
-
-
-def oracle_sql() -> dict[str, str]:
-    steps, last = _raking_sql()
-    shares = ",\n".join(
-        f"t_{d} as (select {d}, pow(sum(tokens)::double, 0.5) / sum(pow(sum(tokens)::double, 0.5)) over () as share from cells group by {d})"
-        for d in mixing.DIMENSIONS)
-    mix = f"""
-with d as (
-  select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang,
-    case when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), '!!') then 'shout'
-         when strlen(coalesce(text, '')) < 400 then 'note' else 'prose' end as topic,
-    greatest(1, ceil(strlen(coalesce(text, '')) / 4.0))::bigint as tokens
-  from documents),
-cells as (select source, lang, topic, sum(tokens)::bigint as tokens from d group by all),
-{shares},
-{steps}
-select d.doc_id, d.source, d.lang, d.topic, d.tokens,
-  round(least(1.0::double, 0.75::double * c.w / c.tokens), 9) as probability,
-  (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double)
-    < least(1.0::double, 0.75::double * c.w / c.tokens) as kept
-from d join {last} c on d.source = c.source and d.lang = c.lang and d.topic = c.topic"""
-    return {"op4_mixing": mix}
