@@ -269,7 +269,9 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
         raise ValueError("length must be a multiple of 16, 64 at least")
     found = durable(find_anchors(rows, length), "suffix-anchors")
     seen = found.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1")
-    shared = durable(found.join(seen.select("a", (F.col("s0") == F.col("s1")).alias("alike")), "a"), "suffix-shared")
+    # a join with a written aggregate has plain shuffles on both sides, so a frequent key can be split
+    seen = durable(seen.select("a", (F.col("s0") == F.col("s1")).alias("alike")), "suffix-seen")
+    shared = durable(found.join(seen, "a"), "suffix-shared")
     whole = _ranges(F.col("first"), F.col("last") + length).alias("r")
     alike = shared.where("alike").select("id", "th", whole)
 
@@ -285,7 +287,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
 
     around = [F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")]
     many = cores.groupBy("key").agg(F.sum("n").alias("m"), *around).where("m > 1")
-    many = many.select("key", ((F.col("b0") == F.col("b1")) & (F.col("a0") == F.col("a1"))).alias("settled"))
+    many = durable(many.select("key", ((F.col("b0") == F.col("b1")) & (F.col("a0") == F.col("a1"))).alias("settled")), "suffix-many")
     open_cores = cores.join(many, "key")
     offsets = F.filter(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda o: F.call_function("getbit", F.col("owned"), o) == 1)
     wide = open_cores.where("settled and n = 1").select(
@@ -294,7 +296,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
     windows = open_cores.where("not settled").select("key", "before", "after", "id", "th", "c", "n", F.explode(offsets).alias("o"))
     edge = F.xxhash64(F.expr("substring(before, length(before) - o + 1, o)"), F.expr(f"substring(after, 1, {STEP} - o)"))
     windows = durable(windows.select("key", "o", edge.alias("w"), "id", "th", "c", "n"), "suffix-windows")
-    twice = windows.groupBy("key", "o", "w").agg(F.sum("n").alias("m")).where("m > 1").select("key", "o", "w")
+    twice = durable(windows.groupBy("key", "o", "w").agg(F.sum("n").alias("m")).where("m > 1").select("key", "o", "w"), "suffix-twice")
     narrow = windows.where("n = 1").join(twice, ["key", "o", "w"]).select(
         "id", "th", _ranges(F.col("c") - F.col("o"), F.col("c") - F.col("o") + length).alias("r"))
     return alike.union(equal).union(wide).union(narrow).select("id", "th", "r.start", "r.stop")
