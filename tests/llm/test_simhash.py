@@ -92,6 +92,14 @@ def test_keep_first_keeps_one_row_and_all_columns(spark):
     assert len(ids) == len(set(ids)) and 0 in ids and 30 not in ids and 43 not in ids and 40 in ids
 
 
+def test_keep_first_keeps_one_row_of_a_class_without_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 400) for _ in range(3))
+    rows = [(None, a, "en", "s", 1), (None, a, "fr", "s", 1), (None, b, "en", "s", 1), (7, b, "en", "s", 1), (9, c, "en", "s", 1), (None, None, None, None, None)]
+    kept = simhash.keep_first(frame(spark, rows, clashes=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, a), (7, b), (9, c), (0, "")])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in connected_components(edges).collect()} == {0}

@@ -119,6 +119,17 @@ def _one(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of all documents, and ``(fp, root, component_id)`` of the different fingerprints."""
+    rows = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
+    links = connected_components(close_pairs(classes.select("fp"), max_bits))
+    member = classes.join(links, classes["fp"] == links["node"], "left").select(
+        classes["fp"].alias("fp"), F.coalesce("root", classes["fp"]).alias("root"), "least_id")
+    ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rows, durable(member.join(ids, "root").select("fp", "root", "component_id"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id`` (smallest doc_id reachable over links).
@@ -127,13 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint 0 and link like any other.  Rows with a null doc_id keep it and get their class's smallest known id.
     Repeated rows come out as often as they went in; extra columns are ignored; an empty table gives no rows.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
-    links = connected_components(close_pairs(classes.select("fp"), max_bits))
-    member = classes.join(links, classes["fp"] == links["node"], "left").select(
-        classes["fp"].alias("fp"), F.coalesce("root", classes["fp"]).alias("root"), "least_id")
-    ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = durable(member.join(ids, "root").select("fp", "component_id"), "fingerprint-components")
+    rows, labelled = _classes(docs, id_col, text_col, shingle, max_bits)
     return rows.join(labelled, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -141,9 +146,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                max_bits: int = 2) -> DataFrame:
     """The documents whose id is the smallest of their near-duplicate class, with their columns as they were.
 
-    Identical repeated rows of the surviving id are one document and one of them stays.
+    Identical repeated rows of the surviving id are one document and one of them stays.  A class in which no row has
+    an id keeps one of its rows.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first_id")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_first_id"], "left_semi")
-    return kept.dropDuplicates([id_col])
+    rows, labelled = _classes(docs, id_col, text_col, shingle, max_bits)
+    first = rows.join(labelled, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first_id")).distinct()
+    kept = docs.join(first, docs[id_col] == first["_first_id"], "left_semi").dropDuplicates([id_col])
+
+    @F.arrow_udf("long")
+    def marks(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py() or b"", shingle) for t in texts.cast(pa.binary())], dtype=np.uint64).view(np.int64))
+
+    # the scan finds rows without id by its filter, mostly from statistics alone
+    bare = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), marks(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp"))
+    bare = bare.join(labelled.where("component_id is null").select("fp", "root"), "fp").dropDuplicates(["root"])
+    return kept.unionByName(bare.select("row.*"))
