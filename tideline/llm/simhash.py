@@ -152,6 +152,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, labelled = _classes(docs, id_col, text_col, shingle, max_bits)
     first = rows.join(labelled, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first_id")).distinct()
     kept = docs.join(first, docs[id_col] == first["_first_id"], "left_semi").dropDuplicates([id_col])
+    nameless = labelled.where("component_id is null").select("fp", "root")
+    if nameless.isEmpty():
+        return kept
 
     @F.arrow_udf("long")
     def marks(texts: pa.Array) -> pa.Array:
@@ -159,5 +162,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # the scan finds rows without id by its filter, mostly from statistics alone
     bare = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), marks(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp"))
-    bare = bare.join(labelled.where("component_id is null").select("fp", "root"), "fp").dropDuplicates(["root"])
+    bare = bare.join(nameless, "fp").dropDuplicates(["root"])
     return kept.unionByName(bare.select("row.*"))
