@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,20 @@ class TokenIds:
     """
 
     def __init__(self, vocab: str, ranks: str | None = None, memo_limit: int = 250_000):
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(vocab)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.vocab = vocab
+        with open(vocab, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         self.memo: dict[str, bytes] = {}
         self.memo_limit = memo_limit
         self.encode_part = self._by_ranks(ranks) if ranks else self._whole
 
+    @cached_property
+    def full(self):
+        """The tokenizer itself: about 90 MB, so a worker loads it at the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocab)
+
     @staticmethod
     def _by_ranks(path: str):
         import base64
