@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import mixing, packing, secrets, simhash, toxicity
+from tideline.llm import mixing, nearcopies, packing, secrets, toxicity
 from tideline.llm._shared import durable, table
 from tideline.llm.queries import token_files
 from tideline.session import ship_package
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash class stays."""
-    return simhash.keep_first(_columns(docs))
+    """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8) stays."""
+    return nearcopies.keep_first(_columns(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
