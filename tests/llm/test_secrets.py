@@ -80,3 +80,32 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
+
+
+def test_redaction_finds_secrets_behind_ordinary_prefixes(spark):
+    import random
+
+    rng = random.Random(12)
+    prefixes = ("", "session_key_id=", "serviceAccountKey=", "/user/session/", "/account/password/reset/", "client_key=")
+    # runs without a digit are no candidates
+    draw = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n - 1)) + rng.choice("0123456789")
+    hidden = [(p, draw(n)) for p in prefixes for n in (24, 40) for _ in range(40)]
+    rows = [(i, f"see {p}{x} here", "en", "s", 1) for i, (p, x) in enumerate(hidden)]
+    # a base span in the run: what is left of the run is judged
+    rows += [(5000 + i, f"see {draw(30)}/token={draw(16)} here", "en", "s", 1) for i in range(40)]
+    plain_runs = sorted({t for t, y in secrets.default_samples(2000, seed=9) if not y and len(t) >= 20})
+    rows += [(9000 + i, f"see {t} here", "en", "s", 1) for i, t in enumerate(plain_runs)]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert sum(x not in got[i] for i, (_, x) in enumerate(hidden)) >= 0.99 * len(hidden)
+    assert sum(got[5000 + i] in ("see [SECRET]/[SECRET] here", "see [SECRET][SECRET] here") for i in range(40)) >= 39
+    assert all(got[9000 + i] == f"see {t} here" for i, t in enumerate(plain_runs))
+
+
+def test_best_window_expression_equals_plain_one(spark):
+    from pyspark.sql import functions as F
+
+    model = secrets.MarkovModel.train(secrets.default_samples(500))
+    texts = ["x9fQ2LmZ8Kp4Vt7Rw3Yb", "partition_manager_config_x9fQ2LmZ8Kp4Vt7Rw3Yb6Nc1/reset", "AAAA/bbbb+cccc=-9AAAAz"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", model.best_column(F.col("t")).alias("r")).collect()
+    for r in rows:
+        assert abs(r["r"] - model.best_ratio(r["t"])) < 1e-9

@@ -21,6 +21,7 @@ MIN_ASSIGN_VALUE = 12
 
 #: Candidates of the Markov models: unbroken runs of these characters, with a digit and a letter in them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20  # characters of a run that are judged together where runs are judged by their parts
 ALPHABET = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_=-"
 
 WORDS = (
@@ -100,6 +101,27 @@ class MarkovModel:
         return F.aggregate(steps, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / F.size(steps)
 
 
+    def best_ratio(self, text: str) -> float:
+        """Largest :meth:`ratio` of any ``WINDOW`` characters; the plain form of :meth:`best_column`."""
+        return max((self.ratio(text[i:i + WINDOW]) for i in range(len(text) - WINDOW + 1)), default=0.0)
+
+    def best_column(self, value: Column) -> Column:
+        """For values of ``WINDOW`` characters at least."""
+        table, size, width = F.lit([float(x) for x in self.table]), len(ALPHABET), WINDOW - 1
+        codes = F.transform(F.split(value, ""), _place)
+        steps = F.zip_with(
+            F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1),
+            lambda a, b: F.coalesce(F.get(table, (a - 1) * size + b - 1), F.lit(0.0)))
+        moves = lambda x: F.zip_with(
+            F.slice(x, F.lit(width + 1), F.size(x) - width), F.slice(x, F.lit(1), F.size(x) - width), lambda new, old: new - old)
+        first = lambda x: F.aggregate(F.slice(x, 1, width), F.lit(0.0), lambda s, y: s + y)
+        walked = lambda x: F.aggregate(
+            moves(x), F.struct(first(x).alias("now"), first(x).alias("best")),
+            lambda acc, d: F.struct((acc["now"] + d).alias("now"), F.greatest(acc["best"], acc["now"] + d).alias("best")))["best"]
+        # the array of one element makes the steps a variable, computed once
+        return F.get(F.transform(F.array(steps), walked), F.lit(0)) / width
+
+
 def _place(char: Column) -> Column:
     return F.call_function("locate", char, F.lit(ALPHABET))
 
@@ -128,12 +150,28 @@ def _joined(spans: Column) -> Column:
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run between the base spans (ordered by start), as spans."""
+    part = lambda low, high: F.struct(
+        low.alias("start"), high.alias("stop"), run["rank"].alias("rank"), run["kind"].alias("kind"),
+        F.substring(run["value"], low - run["start"] + 1, high - low).alias("value"))
+    touching = F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+    start = F.struct(run["start"].alias("at"), F.array().cast(
+        "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>").alias("out"))
+    walked = F.aggregate(touching, start, lambda acc, b: F.struct(
+        F.greatest(acc["at"], b["stop"]).alias("at"),
+        F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["start"])))).otherwise(acc["out"]).alias("out")))
+    return F.concat(walked["out"], F.when(walked["at"] < run["stop"], F.array(part(walked["at"], run["stop"]))).otherwise(start["out"]))
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", model: MarkovModel | None = None,
-                 base: str = "_base_spans", every: str = "_all_spans") -> DataFrame:
+                 base: str = "_base_spans", every: str = "_all_spans", parts: bool = False) -> DataFrame:
     """Add two columns of spans (start, stop, rank, kind, value): the fixed patterns' and those with the models'.
 
     Spans are ordered by start, then kind.  A Markov span is a run of 20 or more characters with a digit and a
-    letter whose mean log-likelihood ratio is above the model's threshold and which touches no base span.
+    letter whose mean log-likelihood ratio is above the model's threshold and which touches no base span.  With
+    ``parts``, base spans are cut out of runs and what is left is judged as a run, and the mean of the best ``WINDOW``
+    characters suffices, so ordinary words before or after a secret don't hide it; the whole run is the span.
     Null text is empty text and has no spans; other columns pass through untouched.
     """
     model = model or MarkovModel.train(default_samples())
@@ -146,10 +184,18 @@ def find_secrets(docs: DataFrame, text_col: str = "text", model: MarkovModel | N
     kept = F.array_sort(F.concat(
         F.filter("_assign", lambda s: F.length(value(s)) >= MIN_ASSIGN_VALUE), F.col("_access"), F.col("_hex")))
     out = out.withColumn(base, kept)
-    odd = F.filter("_runs", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-                   & ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+    touched = lambda s: F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    if parts:
+        cut = F.flatten(F.transform("_runs", lambda s: F.when(touched(s), _outside(s, F.col(base))).otherwise(F.array(s))))
+        out = out.withColumn("_runs", F.when(F.size("_runs") > 0, cut).otherwise(F.col("_runs")))
+        odd = F.filter("_runs", lambda s: (F.length(s["value"]) >= WINDOW) & mixed(s))
+        likely = lambda v: (model.best_column(v) > model.threshold) | (model.column(v) > model.threshold)
+    else:
+        odd = F.filter("_runs", lambda s: mixed(s) & ~touched(s))
+        likely = lambda v: model.column(v) > model.threshold
     out = out.withColumn("_runs", odd)
-    random_like = F.filter("_runs", lambda s: model.column(s["value"]) > model.threshold)
+    random_like = F.filter("_runs", lambda s: likely(s["value"]))
     added = F.when(F.size("_runs") > 0, random_like).otherwise(F.col("_runs"))
     return out.withColumn(every, F.array_sort(F.concat(F.col(base), added))).drop("_assign", "_access", "_hex", "_runs")
 
@@ -165,9 +211,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", model: MarkovModel | None = None) -> DataFrame:
-    """Replace every span (overlapping ones together) by ``mark``; columns and row count stay as they are."""
+    """Replace every span (overlapping ones together) by ``mark``; columns and row count stay as they are.
+
+    Runs are judged by their parts, so this covers all spans of :func:`scan` and more.
+    """
     names = docs.columns
-    rows = find_secrets(docs, text_col, model)
+    rows = find_secrets(docs, text_col, model, parts=True)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     # a span that begins before the end of what is already redacted only moves that end
