@@ -43,3 +43,33 @@ def test_sampled_share_is_near_the_probability(spark):
                                     F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9)).alias("source"), F.lit("en").alias("lang"))
     hot = mixing.calibrated(docs).where("source = 'hot'").agg(F.avg("_p"), F.avg(F.col("_kept").cast("int"))).first()
     assert hot[0] < 0.6 and abs(hot[0] - hot[1]) < 0.05
+
+
+def marginals(rows, dim):
+    sums = {}
+    for r in rows:
+        sums[r[dim]] = sums.get(r[dim], 0.0) + r["tokens"] * r["p"]
+    return {k: v / sum(sums.values()) for k, v in sums.items()}
+
+
+def test_bounded_fit_meets_targets_within_reach_and_keeps_the_total(spark):
+    rng = random.Random(3)
+    # t0 is scarce: its target can't be met by sampling it whole
+    rows = [(f"s{i % 7}", f"l{i % 3}", f"t{i % 4}", rng.randrange(20, 60) if i % 4 == 0 else rng.randrange(2000, 9000)) for i in range(84)]
+    table = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": 0.5, "lang": {"l0": 0.38, "l1": 0.32, "l2": 0.3}, "topic": {"t0": 1, "t1": 3, "t2": 3, "t3": 3}}
+    got = mixing.fit_probabilities(table, targets).collect()
+    total = sum(r["tokens"] for r in got)
+    assert all(0 <= r["p"] <= 1 for r in got) and all(r["p"] == 1 for r in got if r["topic"] == "t0")
+    assert abs(sum(r["tokens"] * r["p"] for r in got) - 0.75 * total) < 1e-4 * total
+    lang, topic = marginals(got, "lang"), marginals(got, "topic")
+    assert abs(lang["l0"] - 0.38) < 1e-4 and abs(topic["t1"] - topic["t3"]) < 1e-4
+    capped = [min(1.0, 0.75 * r["weight"] / r["tokens"]) * r["tokens"] for r in mixing.rake(table, targets).collect()]
+    assert sum(capped) < 0.74 * total  # what the bound takes away without the fit
+
+
+def test_bounded_driver_and_dataframe_rounds_agree(spark):
+    for t in ({"source": {"s0": 1, "s3": 2}, "lang": 0.3, "topic": {}}, dict.fromkeys(mixing.DIMENSIONS, 0.5)):
+        a = {r[:3]: r[4] for r in map(tuple, mixing.fit_probabilities(cells(spark), t, rounds=2).collect())}
+        b = {r[:3]: r[4] for r in map(tuple, mixing.fit_probabilities(cells(spark), t, rounds=2, driver_cells=0).collect())}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-9 for k in a)

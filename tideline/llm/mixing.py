@@ -92,6 +92,95 @@ def _rake_on_driver(cells: DataFrame, targets: dict[str, dict | float], rounds:
     return cells.sparkSession.createDataFrame(out, schema)
 
 
+#: A multiplier that stands for no bound: cells of values that are sampled whole.
+_WHOLE = 1e9
+
+
+def _goals(share: np.ndarray, tokens: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens to sample of each value, and which values are sampled whole because their target is out of reach.
+
+    What such values lack is spread over the others in proportion to their targets.
+    """
+    whole = np.zeros(len(share), dtype=bool)
+    while True:
+        free = ~whole & (share > 0)
+        left = wanted - tokens[whole].sum()
+        goal = np.where(whole, tokens, share * (left / share[free].sum() if free.any() else 0.0))
+        over = free & (goal >= tokens)
+        if not over.any():
+            return goal, whole
+        whole |= over
+
+
+def fit_probabilities(cells: DataFrame, targets: dict[str, dict | float], keep: float = 0.75, rounds: int = 12,
+                      driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """``(source, lang, topic, tokens)`` -> the same with ``p`` in [0, 1]: raking under the bound that no token is sampled twice.
+
+    The sample is to hold ``keep`` of the tokens in the target shares.  ``p`` is the product of one factor a value, cut
+    at 1; each step sets the factors of a dimension so that cells below 1 make up for those at 1.  A target that all
+    tokens of a value can't meet is out of reach: the value is sampled whole and the others of its dimension take the
+    rest.  Targets that only contradict each other across dimensions are approached.
+    """
+    cells = durable(cells.select(*DIMENSIONS, F.col("tokens").cast("long")), "mix-cells")
+    if cells.count() <= driver_cells:
+        return _fit_on_driver(cells, targets, keep, rounds)
+    wanted = keep * cells.agg(F.sum("tokens")).first()[0]
+    goals = {d: durable(_goal_table(cells, d, targets[d], wanted), "mix-goals") for d in DIMENSIONS}
+    state = cells.withColumn("m", F.lit(float(keep)))
+    at_one, below = F.when(F.col("m") >= 1, F.col("tokens")), F.when(F.col("m") < 1, F.col("tokens") * F.col("m"))
+    for _ in range(rounds):
+        for d in DIMENSIONS * 2:
+            now = state.groupBy(d).agg(F.coalesce(F.sum(at_one), F.lit(0)).cast("double").alias("_at_one"),
+                                       F.coalesce(F.sum(below), F.lit(0.0)).alias("_below"))
+            factor = (F.when(F.col("whole"), F.lit(_WHOLE))
+                      .when(F.col("_at_one") + F.col("_below") > F.col("goal"), F.col("goal") / (F.col("_at_one") + F.col("_below")))
+                      .when(F.col("_below") > 0, (F.col("goal") - F.col("_at_one")) / F.col("_below")).otherwise(F.lit(1.0)))
+            scale = goals[d].join(now, d).select(d, factor.alias("_f"))
+            state = state.join(scale, d).select(*DIMENSIONS, "tokens", F.least(F.col("m") * F.col("_f"), F.lit(_WHOLE)).alias("m"))
+            state = durable(state, "mix-round")
+    return state.select(*DIMENSIONS, "tokens", F.least("m", F.lit(1.0)).alias("p"))
+
+
+def _goal_table(cells: DataFrame, dim: str, target: dict | float, wanted: float) -> DataFrame:
+    """:func:`_goals` as DataFrame steps: the level of the free values rises until no more values are out of reach."""
+    sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
+    values = durable(sums.join(_targets(cells, dim, target), dim), "mix-values")
+    level = 0.0
+    whole = (F.col("share") > 0) & (F.col("share") * F.lit(level) >= F.col("t"))
+    while True:
+        row = values.agg(F.sum(F.when(whole, F.col("t"))), F.sum(F.when(~whole, F.col("share")))).first()
+        now = (wanted - (row[0] or 0.0)) / row[1] if row[1] else level
+        if now <= level:
+            break
+        level = now
+        whole = (F.col("share") > 0) & (F.col("share") * F.lit(level) >= F.col("t"))
+    return values.select(dim, F.when(whole, F.col("t")).otherwise(F.col("share") * F.lit(level)).alias("goal"), whole.alias("whole"))
+
+
+def _fit_on_driver(cells: DataFrame, targets: dict[str, dict | float], keep: float, rounds: int) -> DataFrame:
+    rows = sorted(cells.collect(), key=lambda r: (r["source"], r["lang"], r["topic"]))  # bounded by driver_cells
+    schema = "source string, lang string, topic string, tokens long, p double"
+    if not rows:
+        return cells.sparkSession.createDataFrame([], schema)
+    tokens = np.array([r["tokens"] for r in rows], dtype=np.float64)
+    m, plan = np.full(len(rows), float(keep)), []
+    for d in DIMENSIONS:
+        values, at = np.unique([r[d] for r in rows], return_inverse=True)
+        target, sums = targets[d], np.bincount(at, weights=tokens)
+        share = np.array([float(target.get(v, 0.0)) for v in values.tolist()]) if isinstance(target, dict) else sums ** float(target)
+        plan.append((at, *_goals(share / share.sum() if share.sum() else share, sums, keep * tokens.sum())))
+    for _ in range(rounds):
+        for at, goal, whole in plan * 2:
+            at_one = np.bincount(at, weights=np.where(m >= 1, tokens, 0.0), minlength=len(goal))
+            below = np.bincount(at, weights=np.where(m < 1, tokens * m, 0.0), minlength=len(goal))
+            now = at_one + below
+            up = np.divide(goal - at_one, below, out=np.ones_like(goal), where=below > 0)
+            down = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
+            m = np.minimum(m * np.where(whole, _WHOLE, np.where(now > goal, down, up))[at], _WHOLE)
+    out = [(r["source"], r["lang"], r["topic"], r["tokens"], float(min(1.0, x))) for r, x in zip(rows, m)]
+    return cells.sparkSession.createDataFrame(out, schema)
+
+
 def uniform(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) fixed by the id: 52 bits of an MD5 value."""
     key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -100,20 +189,25 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 def calibrated(docs: DataFrame, targets: dict[str, dict | float] | None = None, keep: float = 0.75, rounds: int = 12,
                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
-               tokens: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+               tokens: Column | None = None, driver_cells: int = DRIVER_CELLS, bounded: bool = True) -> DataFrame:
     """``docs`` with ``_source, _lang, _topic, _tokens, _p`` (probability) and ``_kept``.
 
-    A cell (source, language, topic) whose raked weight is w of its t tokens is sampled with probability
-    ``min(1, keep * w / t)``.  The default target of each dimension is its token shares to the power 0.5, which
+    Cells (source, language, topic) are sampled with the probabilities of :func:`fit_probabilities`.  Without
+    ``bounded``, as the SQL of ``op4_mixing`` has it, a cell whose raked weight is w of its t tokens has the probability
+    ``min(1, keep * w / t)``, and what the bound takes away is missing from the sample.  The default target of each dimension is its token shares to the power 0.5, which
     flattens them.  A document's draw depends on its id alone, so repeated rows share it.
     """
     targets = targets or dict.fromkeys(DIMENSIONS, 0.5)
     rows = prepared(docs, text_col, topic, tokens)
     cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")
                          ).agg(F.sum("_tokens").alias("tokens"))
-    raked = rake(cells, targets, rounds, driver_cells).select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
-        F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("tokens")).alias("_p"))
+    if bounded:
+        fitted = fit_probabilities(cells, targets, keep, rounds, driver_cells)
+    else:
+        fitted = rake(cells, targets, rounds, driver_cells).withColumn(
+            "p", F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("tokens")))
+    raked = fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
+                          F.col("p").alias("_p"))
     raked = durable(raked, "mix-probabilities")
     small = F.broadcast(raked) if raked.count() <= driver_cells else raked
     out = rows.join(small, ["_source", "_lang", "_topic"])

@@ -43,7 +43,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.calibrated(table(spark, sf_dir, "documents"))
+    found = mixing.calibrated(table(spark, sf_dir, "documents"), bounded=False)
     return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"),
                         F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
                         F.round("_p", 9).alias("probability"), F.col("_kept").alias("kept"))
