@@ -70,3 +70,19 @@ def test_removed_bytes_match_brute_force(spark, length, seed, clashes):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [7, 500, 4096])
+def test_chunks_do_not_change_anchors(monkeypatch, chunk):
+    raw = random.Random(chunk).randbytes(9000)
+    whole = [x.tolist() for x in suffixes.anchors(raw, 400)]
+    monkeypatch.setattr(suffixes, "_CHUNK", chunk)
+    assert [x.tolist() for x in suffixes.anchors(raw, 400)] == whole
+
+
+def test_anchors_of_unique_text_stay_unique_across_chunks(monkeypatch):
+    monkeypatch.setattr(suffixes, "_CHUNK", 500)
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(9000))
+    hashes = suffixes.anchors(text.encode(), 400)[3].tolist()
+    assert len(set(hashes)) == len(hashes)

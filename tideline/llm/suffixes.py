@@ -135,7 +135,11 @@ def anchors(raw: bytes, length: int):
         first = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1])
         last = np.concatenate([first[1:] - 1, [len(best) - 1]])
         at = best[first]
-        out.append((at + low, first + low, last + low, h[at].view(np.int64)))
+        if out and out[-1][0][-1] == at[0] + low:  # the windows of one anchor go on across the chunks
+            out[-1][2][-1] = last[0] + low
+            at, first, last = at[1:], first[1:], last[1:]
+        if len(at):
+            out.append((at + low, first + low, last + low, h[at].view(np.int64)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
