@@ -8,8 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.errors import ConfigurationError
 from tideline.session import ship_package
 
+#: Rows of a few numbers each that may be broadcast: some 30 MB in memory.  Beyond it, tables are joined by shuffles.
+BROADCAST_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -19,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) is a temporary folder chosen.
+    Only where the setting is absent and everything runs in one process is a temporary folder chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,9 +46,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tideline_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`durable` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._tideline_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def only_chosen(docs: DataFrame, rows: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are in ``chosen(doc_id, th)``, each once, with their columns as they were.
+
+    ``rows(doc_id, th)`` are all rows of ``docs``, ``th`` their :func:`text_digest`.  Documents are sought by what goes,
+    and only rows that repeat both id and text are ever compared, so texts are shuffled only where more goes than may
+    be broadcast.
+    """
+    keys = ["doc_id", "th"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("times"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    marked_ids = chosen.select(*keys, F.lit(True).alias("stays"))
+    judged = counts.join(marked_ids, same(counts, marked_ids), "left").select(counts["doc_id"], counts["th"], "times", "stays")
+    judged = durable(judged.where("stays is null or times > 1"), "near-judged")
+    mark = "_" + uuid.uuid4().hex
+    named = docs.withColumn(mark, F.struct(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("th")))
+    hit = lambda df: named[mark]["doc_id"].eqNullSafe(df["doc_id"]) & (named[mark]["th"] == df["th"])
+    odd = small(judged)
+    out = named.join(odd, hit(odd), "left_anti").select(*docs.columns)
+    again = judged.where("stays")
+    if again.isEmpty():
+        return out
+    again = small(again)
+    more = named.join(again, hit(again), "left_semi").dropDuplicates([mark]).select(*docs.columns)
+    return out.union(more)
 
 
 def whole_text(name: str = "text") -> Column:

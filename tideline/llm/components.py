@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable
+from tideline.llm._shared import durable, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _signature(state)
     while seen[0]:
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a join with a written aggregate has plain shuffles on both sides, so a frequent node can be split
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-lows")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = durable(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = durable(moved.union(low).distinct(), "small-star")
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "star-lows")
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, state = state, durable(moved.union(least).distinct(), "small-star")
+        release(old, low, large, least)
         now = _signature(state)
         if now == seen:
             break

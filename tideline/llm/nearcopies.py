@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands find candidates, the similarity of the shingle sets decides."""
+"""Near copies by word shingles: MinHash bands find candidates, fingerprints discard, the shingle sets decide."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable
+from tideline.llm._shared import durable, only_chosen, release, text_digest
 from tideline.llm.components import connected_components
+from tideline.llm.simhash import majority, pivot_distances, pivots, within
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair at similarity s shares no band with probability (1 - s^4)^32: 5e-8 at 0.8, less above.
-BANDS, DEPTH = 32, 4
+#: A pair at similarity s shares no band with probability (1 - s^6)^24: 7e-4 at 0.8, 1e-5 at 0.85, less above.
+BANDS, DEPTH = 24, 6
+#: At similarity 0.8 fingerprints of 64 bits differ in 9.7 bits on average with a deviation of 2.9; over 24: below 1e-6.
+MAX_BITS, PIVOTS = 24, 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(19).integers(0, 2**64, size=(2, BANDS * DEPTH, 1), dtype=np.uint64)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
@@ -51,54 +54,69 @@ def bands(h: np.ndarray) -> np.ndarray:
     return key
 
 
-def _digest(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
 def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(values) if values else []))
+
+
+SIGNATURES = "doc_id long, th long, node long, n long, fp long, keys array<long>"
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, th, node, n, keys)``: digests of the text and of its words, its different shingles, its band keys."""
+    """Of each row: digests of the text and of its words, its different shingles, their fingerprint, its band keys."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 words = t.as_py().lower().split()
                 h = shingles(words)
                 nodes.append(xxh64_intdigest(b" ".join(words)))
                 sizes.append(len(h))
+                fps.append(majority(h) if len(h) else 0)
                 keys.append(bands(h) if len(h) else h)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)),
-                _signed(np.concatenate(keys) if keys else []))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _signed(nodes), pa.array(sizes, pa.int64()), lists],
-                names=["doc_id", "th", "node", "n", "keys"])
+                [batch.column(0), batch.column(1), _signed(nodes), pa.array(sizes, pa.int64()), _signed(fps), _lists(keys)],
+                names=[c.split()[0] for c in SIGNATURES.split(", ")])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(F.col(text_col)).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, node long, n long, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, SIGNATURES)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """``(node, sh)`` with the shingles of the texts of ``nodes(node, th)``."""
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, sh)`` with the shingles of the texts of ``nodes(node, doc_id, th)``."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t.as_py().lower().split()) for t in batch.column(1).cast(pa.binary())]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)),
-                _signed(np.concatenate(sets) if sets else []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "sh"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["node", "sh"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("th"),
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    same = texts["doc_id"].eqNullSafe(nodes["doc_id"]) & (texts["th"] == nodes["th"])
+    return texts.join(nodes, same).select("node", "text").mapInArrow(run, "node long, sh array<long>")
 
-    texts = docs.select(_digest(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(nodes, "th").dropDuplicates(["th"]).select("node", "text")
-    return durable(found.mapInArrow(run, "node long, sh array<long>"), "near-sets")
+
+def _possible(similarity: float) -> Column:
+    """Whether ``a`` and ``b`` can be near copies at all.
+
+    No more shingles than ``live``, those of a text that any other text has, can be common; a similarity of s asks for
+    s / (1 + s) of the shingles of both.  Both sides follow from the definition, so no near copy is lost to them.
+    """
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-9
+    near = within(F.col("apd"), F.col("bpd"), F.col("afp"), F.col("bfp"), MAX_BITS, PIVOTS)
+    return (F.least("alive", "blive") >= needed) & near
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", F.col("node").alias(name), *[F.col(c).alias(name + c) for c in ("n", "live", "fp", "pd", *more)])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -107,38 +125,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left, right = (sets.select(F.col("node").alias(c), F.col("sh").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9
-    return durable(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "near-links")
-
+    found = durable(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "near-links")
+    release(pairs)
+    return found
 
-def _alike_in_size(m: Column, n: Column, similarity: float) -> Column:
-    return F.least(m, n) >= F.lit(similarity) * F.greatest(m, n) - 1e-9
 
+def _rare_partners(apart: DataFrame, sets: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: texts of different classes that may be near copies, by the rarest shingles of each.
 
-def links(docs: DataFrame, classes: DataFrame, keyed: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    A pair at similarity s has s of the shingles of either text in common, so in one order of all shingles, the rare
+    ones first, the first common shingle is among the first (1 - s) n + 1 of both, and leaves enough behind it on both
+    sides.  Families of edited copies differ in rare shingles, so hardly any pair is left.  Texts of the class that is
+    most frequent under a shingle are only compared with those of others.
+    """
+    own = sets.join(apart.select("node"), "node", "left_semi").select("node", F.explode("sh").alias("s"))
+    ranked = own.join(each.where("df > 1").select("s", "df"), "s", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
+    ranked = ranked.groupBy("node").agg(F.array_sort(F.collect_set("x")).alias("x"))  # at most a text's own shingles
+    room = F.floor((1 - similarity) * F.col("n") + 1e-9) + 1
+    first = apart.join(ranked, "node").withColumn("x", F.slice("x", F.lit(1), room.cast("int")))
+    first = first.select("node", "n", "live", "fp", "pd", "root", F.posexplode("x").alias("place", "x")).withColumn("key", F.col("x.s"))
+    first = durable(first.where("x.df > 1").drop("x"), "near-rare")
+    of_class = first.groupBy("key", "root").agg(F.count("*").alias("many")).groupBy("key")
+    most = of_class.agg(F.max(F.struct("many", "root")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    most = durable(most.select("key", F.col("most.root").alias("most")), "near-most")
+    first = durable(first.join(most, "key"), "near-shared-rare")
+    left, right = (_side(rows, c, "root", "place") for rows, c in ((first.where("root <> most"), "a"), (first, "b")))
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("an") + F.col("bn")) - 1e-9
+    left_over = F.least(F.col("an") - F.col("aplace"), F.col("bn") - F.col("bplace")) >= needed
+    rest = left.join(right, "key").where((F.col("aroot") != F.col("broot")) & left_over & _possible(similarity))
+    return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """``(node, root)`` of the closure of all verified pairs that share a band.
 
-    The texts of a band key are first compared with the smallest of them alone.  Only pairs that this leaves in
-    different classes are compared after that, so a large class costs no square of its size, and the closure is that
-    of all pairs.
+    The texts of a band key are first compared with one of them alone, the one with the largest share of shingles that
+    others have too: of a family of edited copies, the original.  Pairs that this leaves in different classes are
+    compared after that, unless counting or the fingerprints rule them out; the closure is that of all of them.
     """
-    heads = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("many")).where("many > 1")
-    heads = durable(heads.select("key", F.col("head.node").alias("lead"), F.col("head.n").alias("lead_n")), "near-heads")
-    shared = durable(keyed.join(heads, "key"), "near-shared")
-    nodes = shared.select("node").distinct().join(classes.select("node", F.col("best.th").alias("th")), "node")
-    sets = _sets(docs, durable(nodes, "near-nodes"), text_col)
-    stars = shared.where((F.col("node") != F.col("lead")) & _alike_in_size(F.col("n"), F.col("lead_n"), similarity))
-    first = _verified(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")), sets, similarity)
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    crowd = durable(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "near-crowd")
+    shared = durable(keyed.join(crowd, "key"), "near-shared")
+    nodes = classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", "best.doc_id", "best.th")
+    nodes = durable(nodes, "near-nodes")
+    sets = durable(_sets(docs, nodes, id_col, text_col), "near-sets")
+    each = sets.select("node", F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.max("node").alias("other"))
+    each = durable(each, "near-shingles")
+    alone = each.where("node = other").groupBy("node").agg(F.count("*").alias("alone"))
+    live = (F.col("n") - F.coalesce("alone", F.lit(0))).alias("live")
+    nodes = nodes.join(alone, "node", "left").select("node", "n", "fp", live, pivot_distances(F.col("fp"), pivots(PIVOTS)).alias("pd"))
+    # a text of which too much is its own has no near copy
+    shared = durable(shared.join(durable(nodes.where(live >= F.lit(similarity) * F.col("n") - 1e-9), "near-live"), "node"), "near-able")
+
+    best = F.min(F.struct((-F.col("live") / F.col("n")).alias("own"), "node")).alias("lead")
+    heads = durable(shared.groupBy("key").agg(best).select("key", F.col("lead.node").alias("node")), "near-heads")
+    lead = _side(durable(shared.join(heads, ["key", "node"]), "near-leads"), "a")
+    stars = lead.join(_side(shared, "b"), "key").where((F.col("a") != F.col("b")) & _possible(similarity))
+    first = _verified(stars.select("a", "b"), sets, similarity)
     roots = connected_components(first)
 
-    rooted = shared.join(roots, "node", "left").select("key", "node", "n", "lead", F.coalesce("root", "node").alias("root"))
-    rooted = durable(rooted, "near-rooted")
+    rooted = durable(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    apart = durable(rooted.join(durable(split, "near-split"), "key"), "near-apart").where("node <> lead")
-    left = apart.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    right = apart.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br"))
-                                         & _alike_in_size(F.col("an"), F.col("bn"), similarity)).select("a", "b")
-    second = _verified(rest, sets, similarity)
+    apart = durable(rooted.join(durable(split, "near-split"), "key").drop("key").distinct(), "near-apart")
+    rest = _rare_partners(apart, sets, each, similarity)
+    second = _verified(rest.select("a", "b"), sets, similarity)
     return roots if second.isEmpty() else connected_components(first.union(second))
 
 
@@ -147,17 +197,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are near copies if the Jaccard similarity of their sets of five-word shingles (bytes, A-Z as a-z) is
     ``similarity`` or more; classes are the closure.  Texts without words are one class.  A class without ids keeps
-    one row.  Where an id is carried by different texts, each is judged by its own text.
+    one row.  Where an id is carried by different texts, each is judged by its own text.  Repeated rows are one
+    document; extra columns stay; very long texts are judged whole; an empty table gives no rows.
     """
     rows = durable(signatures(docs, id_col, text_col), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("best")
-    classes = durable(rows.groupBy("node").agg(best), "near-classes")
-    keyed = durable(rows.select("node", "n", F.explode("keys").alias("key")).distinct(), "near-keys")
-    found = links(docs, classes, keyed, text_col, similarity)
+    classes = rows.groupBy("node").agg(best, *[F.any_value(c).alias(c) for c in ("n", "fp", "keys")])
+    classes = durable(classes, "near-classes")
+    found = links(docs, classes, id_col, text_col, similarity)
     member = classes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    chosen = member.groupBy("root").agg(F.min("best").alias("best")).select(
-        F.col("best.doc_id").alias("_best_id"), F.col("best.th").alias("_best_th"))
-    chosen = durable(chosen, "near-chosen")
-    marked = docs.withColumn("_near_th", _digest(F.col(text_col)))
-    same = marked[id_col].cast("long").eqNullSafe(chosen["_best_id"]) & (marked["_near_th"] == chosen["_best_th"])
-    return marked.join(chosen, same, "left_semi").dropDuplicates([id_col, "_near_th"]).select(*docs.columns)
+    chosen = member.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.th")
+    return only_chosen(docs, rows, durable(chosen, "near-chosen"), id_col, text_col)

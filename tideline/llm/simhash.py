@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable
+from tideline.llm._shared import durable, only_chosen, text_digest
 from tideline.llm.components import connected_components
 
 HASH_SEED = 42
@@ -30,7 +30,12 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     hashes = (xxh64_intdigest(b" ".join(s), HASH_SEED) for s in zip(*(words[k:] for k in range(shingle)))) \
         if len(words) >= shingle else iter([xxh64_intdigest(b" ".join(words), HASH_SEED)])
-    values = np.fromiter(hashes, dtype=np.uint64, count=n)
+    return majority(np.fromiter(hashes, dtype=np.uint64, count=n))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit values."""
+    n = len(values)
     counts = np.zeros((8, 8), dtype=np.int64)
     padded = np.zeros(-(-n // 255) * 255, dtype=np.uint64)
     padded[:n] = values
@@ -43,16 +48,17 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` with the fingerprint as a signed long; null texts count as empty."""
+    """``(doc_id, th, fp)`` with the fingerprint as a signed long; null texts count as empty."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             out = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text).alias("th"), text.cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def as_hex(fp: Column) -> Column:
@@ -68,6 +74,18 @@ def pivot_distances(fp: Column, refs: list[int]) -> Column:
     return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("byte") for r in refs])
 
 
+def within(pa: Column, pb: Column, a: Column, b: Column, max_bits: int, n_pivots: int) -> Column:
+    """Whether two fingerprints differ in ``max_bits`` bits at most.
+
+    By the triangle inequality a pair is discarded as soon as its distances to one reference fingerprint differ by
+    more; the survivors are verified bit by bit.
+    """
+    near = F.lit(True)
+    for i in range(n_pivots):
+        near = near & (F.abs(pa[i].cast("int") - pb[i].cast("int")) <= max_bits)
+    return near & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+
 def close_pairs(distinct: DataFrame, max_bits: int = 2, n_pivots: int = 16, block_limit: int = 512) -> DataFrame:
     """``(a, b)``: links whose closure equals that of all pairs of ``distinct.fp`` within ``max_bits`` <= 2 bits.
 
@@ -93,10 +111,7 @@ def close_pairs(distinct: DataFrame, max_bits: int = 2, n_pivots: int = 16, bloc
     small = keyed.where(F.col("count") <= block_limit)
     left = small.select("key", F.col("fp").alias("a"), F.col("pd").alias("pa"))
     right = small.select("key", F.col("fp").alias("b"), F.col("pd").alias("pb"))
-    near = F.col("a") < F.col("b")
-    for i in range(n_pivots):
-        near = near & (F.abs(F.col("pa")[i].cast("int") - F.col("pb")[i].cast("int")) <= max_bits)
-    near = near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    near = (F.col("a") < F.col("b")) & within(F.col("pa"), F.col("pb"), F.col("a"), F.col("b"), max_bits, n_pivots)
     pairs = left.join(right, (left["key"] == right["key"]) & near).select("a", "b")
 
     crowded = keyed.where(F.col("count") > block_limit).select("fp").distinct()
@@ -120,7 +135,7 @@ def _one(i: Column) -> Column:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` of all documents, and ``(fp, root, component_id)`` of the different fingerprints."""
+    """``(doc_id, th, fp)`` of all documents, and ``(fp, root, component_id)`` of the different fingerprints."""
     rows = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-classes")
     links = connected_components(close_pairs(classes.select("fp"), max_bits))
@@ -144,23 +159,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                max_bits: int = 2) -> DataFrame:
-    """The documents whose id is the smallest of their near-duplicate class, with their columns as they were.
+    """The document of the smallest id of each near-duplicate class, with its columns as it was.
 
-    Identical repeated rows of the surviving id are one document and one of them stays.  A class in which no row has
-    an id keeps one of its rows.
+    Identical repeated rows are one document and one of them stays.  Where an id is carried by different texts, each
+    is judged by its own text.  A class in which no row has an id keeps one of its rows.
     """
     rows, labelled = _classes(docs, id_col, text_col, shingle, max_bits)
-    first = rows.join(labelled, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first_id")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_first_id"], "left_semi").dropDuplicates([id_col])
-    nameless = labelled.where("component_id is null").select("fp", "root")
-    if nameless.isEmpty():
-        return kept
-
-    @F.arrow_udf("long")
-    def marks(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py() or b"", shingle) for t in texts.cast(pa.binary())], dtype=np.uint64).view(np.int64))
-
-    # the scan finds rows without id by its filter, mostly from statistics alone
-    bare = docs.where(F.col(id_col).isNull()).select(F.struct("*").alias("row"), marks(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp"))
-    bare = bare.join(nameless, "fp").dropDuplicates(["root"])
-    return kept.unionByName(bare.select("row.*"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("best")
+    chosen = rows.join(labelled, "fp").groupBy("root").agg(best).select("best.doc_id", "best.th")
+    return only_chosen(docs, rows, chosen, id_col, text_col)
