@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable
+from tideline.llm._shared import durable, release, small
 
 GRAM = 32  # bytes of an anchor
 STEP = 16  # bytes of a block
@@ -173,14 +173,11 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "th", "text").mapInArrow(run, ANCHORS)
 
 
-CORES = "key binary, before binary, after binary, id long, th long, c long, owned int, n long"
-
-
-def block_runs(pieces: list[tuple[bytes, int, int, int]], core: int):
-    """``(piece, core start, digest)`` for every block-aligned core of ``core`` blocks in the pieces.
+def ordered_cores(pieces: list[tuple[bytes, int, int, int]], core: int):
+    """``(owner, start, run)``: all block-aligned cores of ``core`` blocks in the order of a suffix array.
 
-    A piece is (text, anchor, first, last).  Its blocks are counted from the anchor.  Cores that are equal stand
-    next to each other in the suffix array over the blocks of all pieces; one digest is made per run of equals.
+    A piece is (text, anchor, first, last); its blocks are counted from the anchor, and each 16 bytes are a symbol.
+    Cores are equal where neighbours in the array share a prefix of ``core`` symbols: such runs get one number.
     """
     texts, owner, start = [], [], []
     valid, base = [], 0
@@ -207,29 +204,170 @@ def block_runs(pieces: list[tuple[bytes, int, int, int]], core: int):
     same = np.ones(max(len(at) - 1, 0), dtype=bool)
     for k in range(core):
         same &= symbols[at[1:] + k] == symbols[at[:-1] + k]
-    digest = b""
-    joined = memoryview(blocks.tobytes())
-    for k, i in enumerate(order.tolist()):
-        if k == 0 or not same[k - 1]:
-            p = int(at[k]) * STEP
-            digest = hashlib.blake2b(joined[p:p + core * STEP], digest_size=16).digest()
-        yield int(owner[i]), int(start[i]), digest
+    run = np.concatenate([[0], np.cumsum(~same)])
+    return owner[order], start[order], run
+
 
+def repeated_windows(pieces: list[tuple[bytes, int, int, int]], length: int):
+    """``(piece, low, high)`` arrays: the windows that start at low..high of a piece are in another piece as well.
 
-def find_cores(fetched: DataFrame, length: int, block_pieces: int) -> DataFrame:
-    """Cores of the candidate pieces, with the blocks around them and which window starts they stand for."""
+    Equal windows have equal cores, so they stand in one run of the suffix array; what a window has before and behind
+    its core, 16 bytes together, is compared byte by byte inside the run.
+    """
     core = length // STEP - 1
+    owner, start, run = ordered_cores(pieces, core)
+    size = np.bincount(run)[run]
+    owner, start, run, size = (x[size > 1] for x in (owner, start, run, size))
+    if not len(owner):
+        return (np.zeros(0, np.int64),) * 3
+    pad = b"\0" * STEP
+    joined = np.frombuffer(pad + b"".join(raw + pad for raw, _, _, _ in pieces), dtype=np.uint8)
+    base = STEP + np.concatenate([[0], np.cumsum([len(p[0]) + STEP for p in pieces])])[:-1]
+    first, last = (np.array([p[i] for p in pieces])[owner] for i in (2, 3))
+    at = (base[owner] + start)[:, None]
+    edge = np.hstack([joined[at + np.arange(-STEP, 0)], joined[at + core * STEP + np.arange(STEP)]])
+    # the windows of a core start 0 to 15 bytes before it; each piece stands for some of them
+    least, most = np.maximum(0, start - last), np.minimum(STEP - 1, start - first)
+    out = []
+    i = np.flatnonzero((size == 2) & (np.r_[run[1:], -1] == run))
+    j = i + 1
+    equal = edge[i] == edge[j]
+    before = np.cumprod(equal[:, STEP - 1::-1], axis=1).sum(axis=1)
+    behind = np.cumprod(equal[:, STEP:], axis=1).sum(axis=1)
+    low = np.maximum.reduce([STEP - behind, least[i], least[j]])
+    high = np.minimum.reduce([before, most[i], most[j]])
+    found = low <= high
+    for k in (i[found], j[found]):
+        out.append((owner[k], start[k] - high[found], start[k] - low[found]))
+    many = np.flatnonzero(size > 2)
+    for o in range(STEP if len(many) else 0):
+        k = many[(least[many] <= o) & (o <= most[many])]
+        halves = np.ascontiguousarray(edge[k, STEP - o:2 * STEP - o]).view("<u8")
+        by = np.lexsort((halves[:, 0], halves[:, 1], run[k]))
+        k, halves = k[by], halves[by]
+        twin = (run[k][1:] == run[k][:-1]) & (halves[1:] == halves[:-1]).all(axis=1)
+        k = k[np.r_[twin, False] | np.r_[False, twin]]
+        out.append((owner[k], start[k] - o, start[k] - o))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _promising(group: list[tuple[bytes, int, int, int]], length: int) -> list[int]:
+    """The pieces of one anchor that share what all their windows, or one half of them, must have in common."""
+    half = (length - GRAM) // 2
+    keys = []
+    seen = Counter()
+    for raw, pos, first, last in group:
+        mine = []
+        if pos - last <= half:
+            mine.append((0, raw[pos:pos + length - half]))
+        if pos - first > half:
+            mine.append((1, raw[pos - half - 1:pos + GRAM]))
+        seen.update(mine)
+        keys.append(mine)
+    return [i for i, mine in enumerate(keys) if any(seen[k] > 1 for k in mine)]
+
+
+PIECES = "a long, n long, id long, th long, low long, pos long, first long, last long, raw binary"
+SPANS = "id long, th long, start long, stop long"
+
+
+def cut_pieces(fetched: DataFrame, length: int) -> DataFrame:
+    """A row for each of the ``pieces`` of a text, with the bytes around its windows."""
+
+    def run(batches):
+        for batch in batches:
+            ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = [[] for _ in range(9)]
+            for i in range(batch.num_rows):
+                raw = batch.column(2)[i].as_py().encode()
+                for p in batch.column(3)[i].as_py():
+                    low = max(0, p["first"] - STEP)
+                    row = (p["a"], p["n"], ids[i], ths[i], low, p["pos"] - low, p["first"] - low, p["last"] - low, raw[low:p["last"] + length + STEP])
+                    for column, value in zip(out, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(out)],
+                                             names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return fetched.select("id", "th", "text", "pieces").mapInArrow(run, PIECES)
+
 
-    def emit(pieces, names):
+def repeated_in_groups(pieces: DataFrame, length: int, block_pieces: int) -> DataFrame:
+    """Spans of the pieces whose windows are repeated, from suffix arrays over whole anchor groups.
+
+    Rows of an anchor stand together; a block takes groups up to ``block_pieces`` pieces, a larger group alone.
+    """
+
+    def settle(block, names):
+        rows = [[] for _ in range(4)]
+        if block:
+            piece, low, high = repeated_windows(block, length)
+            order = np.lexsort((low, piece))
+            spans: list[list[int]] = []
+            for k, a, b in zip(piece[order].tolist(), low[order].tolist(), high[order].tolist()):
+                if spans and spans[-1][0] == k and a <= spans[-1][2] + length:
+                    spans[-1][2] = max(spans[-1][2], b)
+                else:
+                    spans.append([k, a, b])
+            for k, a, b in spans:
+                doc, th, offset, times = names[k]
+                if times == 1:  # else the whole piece is known to be repeated
+                    for column, value in zip(rows, (doc, th, a + offset, b + offset + length)):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["id", "th", "start", "stop"])
+
+    def run(batches):
+        block, names, group, group_names, current = [], [], [], [], None
+
+        def close():
+            for i in _promising(group, length):
+                block.append(group[i])
+                names.append(group_names[i])
+            group.clear()
+            group_names.clear()
+
+        for batch in batches:
+            a, n, ids, ths, low, pos, first, last, raw = (batch.column(i).to_pylist() for i in range(9))
+            for i, anchor in enumerate(a):
+                if anchor != current:
+                    close()
+                    current = anchor
+                    if len(block) >= block_pieces:
+                        yield settle(block, names)
+                        block, names = [], []
+                group.append((raw[i], pos[i], first[i], last[i]))
+                group_names.append((ids[i], ths[i], low[i], n[i]))
+        close()
+        yield settle(block, names)
+
+    return pieces.repartition("a").sortWithinPartitions("a", "id", "th", "pos").mapInArrow(run, SPANS)
+
+
+CORES = "key binary, before binary, after binary, id long, th long, c long, owned int, n long"
+
+
+def block_runs(pieces: list[tuple[bytes, int, int, int]], core: int):
+    """``(piece, core start, digest)`` for every core in the pieces; one digest is made per run of equals."""
+    digest, before = b"", -1
+    for k, c, run in zip(*(x.tolist() for x in ordered_cores(pieces, core))):
+        if run != before:
+            digest, before = hashlib.blake2b(memoryview(pieces[k][0])[c:c + core * STEP], digest_size=16).digest(), run
+        yield k, c, digest
+
+
+def find_cores(pieces: DataFrame, length: int, block_pieces: int) -> DataFrame:
+    """Cores of the pieces, with the blocks around them and which window starts they stand for."""
+    core = length // STEP - 1
+
+    def emit(block, names):
         out = [[] for _ in range(8)]
-        for k, c, digest in block_runs(pieces, core):
-            raw, pos, first, last = pieces[k]
+        for k, c, digest in block_runs(block, core):
+            raw, pos, first, last = block[k]
             owned = 0
             for o in range(STEP):
                 owned |= (first <= c - o <= last) << o
             # neighbouring anchors can both have a core here; each stands for windows of its own
             key = digest + (pos - c).to_bytes(4, "little", signed=True)
-            row = (key, raw[max(0, c - STEP):c], raw[c + core * STEP:c + (core + 1) * STEP], names[k][0], names[k][1], c + names[k][3], owned, names[k][2])
+            row = (key, raw[max(0, c - STEP):c], raw[c + core * STEP:c + (core + 1) * STEP], names[k][0], names[k][1], c + names[k][2], owned, names[k][3])
             for column, value in zip(out, row):
                 column.append(value)
         kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -237,37 +375,34 @@ def find_cores(fetched: DataFrame, length: int, block_pieces: int) -> DataFrame:
                                           names=[c.split()[0] for c in CORES.split(", ")])
 
     def run(batches):
-        pieces, names = [], []
+        block, names = [], []
         for batch in batches:
+            _, n, ids, ths, low, pos, first, last, raw = (batch.column(i).to_pylist() for i in range(9))
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py().encode()
-                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                for p in batch.column(3)[i].as_py():
-                    low = max(0, p["first"] - STEP)
-                    pieces.append((raw[low:p["last"] + length + STEP], p["pos"] - low, p["first"] - low, p["last"] - low))
-                    names.append((*key, p["n"], low))
-                    if len(pieces) >= block_pieces:
-                        yield emit(pieces, names)
-                        pieces, names = [], []
-        if pieces:
-            yield emit(pieces, names)
+                block.append((raw[i], pos[i], first[i], last[i]))
+                names.append((ids[i], ths[i], low[i], n[i]))
+                if len(block) >= block_pieces:
+                    yield emit(block, names)
+                    block, names = [], []
+        if block:
+            yield emit(block, names)
 
-    return fetched.select("id", "th", "text", "pieces").mapInArrow(run, CORES)
+    return pieces.mapInArrow(run, CORES)
 
 
 def _ranges(start: Column, stop: Column) -> Column:
     return F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 2048, group_pieces: int = 8192) -> DataFrame:
     """``(id, th, start, stop)``: bytes of strings of ``length`` bytes that start elsewhere too, in any order, overlapping.
 
     ``rows`` has ``id, th, text`` (no nulls).  Windows of equal content share an anchor.  Anchors that occur once are
-    done; where all occurrences of an anchor agree in all their windows, or some agree fully, those are repeats;
-    the rest, one piece of text for each different surrounding of an anchor, goes through suffix arrays in blocks of
-    ``block_pieces`` pieces, whose runs of equal cores are then merged over all blocks by digest and settled byte by
-    byte on both sides.  All grouping is by partial aggregates and joins that adaptive execution can split, so no
-    anchor, however frequent, is gathered in a task.
+    done; where all occurrences of an anchor agree in all their windows, or some agree fully, those are repeats, by
+    128 bits of digests.  Of the rest, one piece of text for each different surrounding of an anchor goes to the task
+    that holds the anchor, where the runs of a suffix array find the repeats and bytes are compared.  An anchor of more
+    than ``group_pieces`` surroundings is not gathered: its pieces go through suffix arrays in blocks anywhere, and the
+    runs are merged over all blocks by 128-bit digests of their cores.
     """
     if length < 64 or length % STEP:
         raise ValueError("length must be a multiple of 16, 64 at least")
@@ -276,6 +411,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
     # a join with a written aggregate has plain shuffles on both sides, so a frequent key can be split
     seen = durable(seen.select("a", (F.col("s0") == F.col("s1")).alias("alike")), "suffix-seen")
     shared = durable(found.join(seen, "a"), "suffix-shared")
+    release(found, seen)
     whole = _ranges(F.col("first"), F.col("last") + length).alias("r")
     alike = shared.where("alike").select("id", "th", whole)
 
@@ -284,11 +420,28 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
     kinds = durable(mixed.groupBy("a", "s").agg(F.count("*").alias("n"), one), "suffix-kinds")
     equal = mixed.join(kinds.where("n > 1").select("a", "s"), ["a", "s"]).select("id", "th", whole)
 
-    pieces = kinds.select("p.id", "p.th", F.struct("p.pos", "p.first", "p.last", "n").alias("x"))
+    pieces = kinds.select("p.id", "p.th", F.struct("a", "p.pos", "p.first", "p.last", "n").alias("x"))
     pieces = pieces.groupBy("id", "th").agg(F.collect_list("x").alias("pieces"))  # at most a document's own anchors
-    fetched = rows.dropDuplicates(["id", "th"]).join(pieces, ["id", "th"])
-    cores = durable(find_cores(fetched, length, block_pieces), "suffix-cores")
-
+    texts = rows.dropDuplicates(["id", "th"]) if rows.groupBy("id", "th").count().where("count > 1").take(1) else rows
+    pieces = cut_pieces(texts.join(pieces, ["id", "th"]), length)
+    crowded = durable(kinds.groupBy("a").count().where(F.col("count") > group_pieces).select("a"), "suffix-crowded")
+    if crowded.isEmpty():
+        return _spans(alike.union(equal)).union(durable(repeated_in_groups(pieces, length, block_pieces), "suffix-spans"))
+    pieces = durable(pieces, "suffix-pieces")
+    crowded = small(crowded)
+    near = durable(repeated_in_groups(pieces.join(crowded, "a", "left_anti"), length, block_pieces), "suffix-spans")
+    wide, narrow = _merged_over_blocks(pieces.join(crowded, "a"), length, block_pieces)
+    return _spans(alike.union(equal).union(wide).union(narrow)).union(near)
+
+
+def _spans(ranges: DataFrame) -> DataFrame:
+    return ranges.select("id", "th", "r.start", "r.stop")
+
+
+def _merged_over_blocks(pieces: DataFrame, length: int, block_pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of the repeated windows of pieces that no task could hold: all grouping is by partial aggregates and
+    joins that adaptive execution can split."""
+    cores = durable(find_cores(pieces, length, block_pieces), "suffix-cores")
     around = [F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")]
     many = cores.groupBy("key").agg(F.sum("n").alias("m"), *around).where("m > 1")
     many = durable(many.select("key", ((F.col("b0") == F.col("b1")) & (F.col("a0") == F.col("a1"))).alias("settled")), "suffix-many")
@@ -303,7 +456,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, block_pieces: int = 1024)
     twice = durable(windows.groupBy("key", "o", "w").agg(F.sum("n").alias("m")).where("m > 1").select("key", "o", "w"), "suffix-twice")
     narrow = windows.where("n = 1").join(twice, ["key", "o", "w"]).select(
         "id", "th", _ranges(F.col("c") - F.col("o"), F.col("c") - F.col("o") + length).alias("r"))
-    return alike.union(equal).union(wide).union(narrow).select("id", "th", "r.start", "r.stop")
+    return wide, narrow
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
