@@ -134,7 +134,7 @@ def secret_spans() -> str:
     either = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)
     words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + f"|{either('api')}_?{either('key')}"
     assign = rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    place = lambda i: f"strpos({_quoted(secrets.ALPHABET)}, hit[{i}])"
+    place = lambda c: f"strpos({_quoted(secrets.ALPHABET)}, {c})"
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 {_spans("assign", assign, 2)},
@@ -145,16 +145,23 @@ base as (
   select rid, 0 as rank, 'assign' as kind, stop - length(hit) as start, stop from assign_spans where length(shown) >= 12
   union all select rid, 1, 'access', stop - length(hit), stop from access_spans where length(hit) >= 18
   union all select rid, 2, 'hex', stop - length(hit), stop from hex_spans where length(hit) >= 16),
-odd as (
-  select rid, hit, stop - length(hit) as start, stop from run_spans r
-  where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]')
-    and not exists (select 1 from base b where b.rid = r.rid and b.start < r.stop and r.stop - length(r.hit) < b.stop)),
+chars as (
+  select rid, stop - length(hit) + i - 1 as pos, hit[i] as c from (select rid, hit, stop, unnest(range(1, length(hit) + 1)) as i from run_spans)),
+bare as (
+  select rid, pos, c, pos - row_number() over (partition by rid order by pos) as isle from chars x
+  where not exists (select 1 from base b where b.rid = x.rid and b.start <= x.pos and x.pos < b.stop)),
 weights as (select [{",".join(map(repr, model.table))}] as w),
 steps as (
-  select rid, start, stop, w[({place("i")} - 1) * {len(secrets.ALPHABET)} + {place("i + 1")}] as x
-  from (select rid, hit, start, stop, unnest(range(1, length(hit))) as i from odd), weights),
+  select rid, isle, pos, c, w[({place("lag(c) over same")} - 1) * {len(secrets.ALPHABET)} + {place("c")}] as x
+  from bare, weights window same as (partition by rid, isle order by pos)),
+judged as (
+  select rid, isle, pos, c, x, avg(x) over (partition by rid, isle order by pos rows {secrets.WINDOW - 2} preceding) as near,
+    row_number() over (partition by rid, isle order by pos) as i
+  from steps),
 markov as (
-  select rid, 3 as rank, 'markov' as kind, start, stop from steps group by rid, start, stop having avg(x) > {model.threshold!r}),
+  select rid, 3 as rank, 'markov' as kind, min(pos) as start, max(pos) + 1 as stop from judged group by rid, isle
+  having count(*) >= 20 and bool_or(regexp_matches(c, '[0-9]')) and bool_or(regexp_matches(c, '[A-Za-z]'))
+    and (avg(x) > {model.threshold!r} or max(near) filter (i >= {secrets.WINDOW}) > {model.threshold!r})),
 named as (
   select rid, rank, start, kind || ':' || start || ':' || stop as name from (select * from base union all select * from markov)),
 told as (

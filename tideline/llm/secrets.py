@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -126,23 +127,68 @@ def _place(char: Column) -> Column:
     return F.call_function("locate", char, F.lit(ALPHABET))
 
 
+_SPANS = "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>"
+_BLOCK = 64
+
+
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: the element of an array is a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_BLOCK)),
+                       lambda i: F.slice(items, i + 1, F.lit(_BLOCK)))
+
+
+def _before(items: Column, value, combine) -> Column:
+    """For each item, ``combine`` over the values of all items before it, from 0 on.
+
+    A fold that appends to an array copies it at each step, so folds run inside blocks; a text of very many spans
+    takes time in proportion to them.
+    """
+    step = lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+    start = lambda now: F.struct(now.alias("now"), F.array().cast("array<int>").alias("out"))
+
+    def of(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: combine(acc, value(x))))
+        first = F.aggregate(whole, start(F.lit(0)), step)["out"]
+        return F.flatten(F.zip_with(blocks, first, lambda b, now: F.aggregate(b, start(now), lambda acc, x: step(acc, value(x)))["out"]))
+
+    return _once(_blocks(items), of)
+
+
 def _matches(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, stop, rank, kind, value): leftmost, non-overlapping; code points, stop exclusive."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>").alias("out"))
-    rank = KINDS.index(kind)
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
-        empty,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["g"])).alias("start"),
-                (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("stop"),
-                F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["m"].alias("value")))).alias("out")))
-    return F.when(F.size(gaps) > 1, walked["out"]).otherwise(empty["out"])
+    parts = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(
+        F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value")))
+    span = lambda x, at: F.struct(
+        (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("stop"),
+        F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+    placed = _once(parts, lambda p: F.zip_with(p, _before(p, lambda x: x["gap"] + x["size"], lambda a, b: a + b), span))
+    return F.when(F.size(gaps) > 1, placed).otherwise(F.array().cast(_SPANS))
+
+
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """``text`` with what the spans (ordered by start) cover replaced by ``fill(span, at)``, ``at`` being the furthest
+    stop before the span."""
+    cut = lambda whole, low, high: whole.substr(low + 1, F.greatest(high - low, F.lit(0)))
+
+    def of(items: Column) -> Column:
+        # a place in a string is found by walking there, so each block of spans gets its own part of the text
+        def block(b: Column) -> Column:
+            low, high = b[0]["at"], F.array_max(F.transform(b, lambda x: F.greatest(x["s"]["start"], x["at"])))
+            piece = lambda part, x: F.concat(cut(part, x["at"] - low, x["s"]["start"] - low), fill(x["s"], x["at"]))
+            return _once(cut(text, low, high), lambda part: F.array_join(F.transform(b, lambda x: piece(part, x)), ""))
+
+        end = F.aggregate(items, F.lit(0), lambda acc, x: F.greatest(acc, x["s"]["stop"]))
+        return F.concat(F.array_join(F.transform(_blocks(items), block), ""), text.substr(end + 1, F.length(text)))
+
+    at = lambda s: _before(s, lambda x: x["stop"], F.greatest)
+    items = _once(spans, lambda s: F.zip_with(s, at(s), lambda x, now: F.struct(x.alias("s"), now.alias("at"))))
+    return F.when(F.size(spans) > 0, _once(items, of)).otherwise(text)
 
 
 def _joined(spans: Column) -> Column:
@@ -150,58 +196,40 @@ def _joined(spans: Column) -> Column:
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _outside(run: Column, base: Column) -> Column:
-    """The parts of a run between the base spans (ordered by start), as spans."""
-    part = lambda low, high: F.struct(
-        low.alias("start"), high.alias("stop"), run["rank"].alias("rank"), run["kind"].alias("kind"),
-        F.substring(run["value"], low - run["start"] + 1, high - low).alias("value"))
-    touching = F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
-    start = F.struct(run["start"].alias("at"), F.array().cast(
-        "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>").alias("out"))
-    walked = F.aggregate(touching, start, lambda acc, b: F.struct(
-        F.greatest(acc["at"], b["stop"]).alias("at"),
-        F.when(b["start"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["start"])))).otherwise(acc["out"]).alias("out")))
-    return F.concat(walked["out"], F.when(walked["at"] < run["stop"], F.array(part(walked["at"], run["stop"]))).otherwise(start["out"]))
-
-
 def find_secrets(docs: DataFrame, text_col: str = "text", model: MarkovModel | None = None,
-                 base: str = "_base_spans", every: str = "_all_spans", parts: bool = False) -> DataFrame:
+                 base: str = "_base_spans", every: str = "_all_spans") -> DataFrame:
     """Add two columns of spans (start, stop, rank, kind, value): the fixed patterns' and those with the models'.
 
-    Spans are ordered by start, then kind.  A Markov span is a run of 20 or more characters with a digit and a
-    letter whose mean log-likelihood ratio is above the model's threshold and which touches no base span.  With
-    ``parts``, base spans are cut out of runs and what is left is judged as a run, and the mean of the best ``WINDOW``
-    characters suffices, so ordinary words before or after a secret don't hide it; the whole run is the span.
-    Null text is empty text and has no spans; other columns pass through untouched.
+    Spans are ordered by start, then kind.  A Markov span is an unbroken run of 20 or more characters outside the base
+    spans, with a digit and a letter, of which all together or the best ``WINDOW`` neighbours have a mean
+    log-likelihood ratio above the model's threshold: ordinary words before or after a secret don't hide it.  Null text
+    is empty text and has no spans; repeated rows stay; very long texts and very many spans are judged whole; other
+    columns pass through untouched.
     """
     model = model or MarkovModel.train(default_samples())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({
-        "_assign": _matches(text, ASSIGN, "assign"), "_access": _matches(text, ACCESS, "access"),
-        "_hex": _matches(text, HEX, "hex"), "_runs": _matches(text, CANDIDATE, "markov"),
-    })
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    mark = f"_{uuid.uuid4().hex}"
+    out = docs.withColumns({f"{mark}{i}": _matches(text, p, k) for i, (p, k) in enumerate(zip((ASSIGN, ACCESS, HEX), KINDS))})
     value = lambda s: F.regexp_extract(s["value"], ASSIGN, 1)
     kept = F.array_sort(F.concat(
-        F.filter("_assign", lambda s: F.length(value(s)) >= MIN_ASSIGN_VALUE), F.col("_access"), F.col("_hex")))
-    out = out.withColumn(base, kept)
+        F.filter(f"{mark}0", lambda s: F.length(value(s)) >= MIN_ASSIGN_VALUE), F.col(f"{mark}1"), F.col(f"{mark}2")))
+    out = out.withColumn(base, kept).drop(*(f"{mark}{i}" for i in range(3)))
+    # as many characters that end a run stand for what the base spans cover
+    blank = lambda s, at: F.repeat(F.lit("\0"), F.greatest(s["stop"] - F.greatest(s["start"], at), F.lit(0)))
+    out = out.withColumn(f"{mark}t", _replaced(text, F.col(base), blank))
+    out = out.withColumn(f"{mark}r", _matches(F.col(f"{mark}t"), CANDIDATE, "markov"))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    touched = lambda s: F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    if parts:
-        cut = F.flatten(F.transform("_runs", lambda s: F.when(touched(s), _outside(s, F.col(base))).otherwise(F.array(s))))
-        out = out.withColumn("_runs", F.when(F.size("_runs") > 0, cut).otherwise(F.col("_runs")))
-        odd = F.filter("_runs", lambda s: (F.length(s["value"]) >= WINDOW) & mixed(s))
-        likely = lambda v: (model.best_column(v) > model.threshold) | (model.column(v) > model.threshold)
-    else:
-        odd = F.filter("_runs", lambda s: mixed(s) & ~touched(s))
-        likely = lambda v: model.column(v) > model.threshold
-    out = out.withColumn("_runs", odd)
-    random_like = F.filter("_runs", lambda s: likely(s["value"]))
-    added = F.when(F.size("_runs") > 0, random_like).otherwise(F.col("_runs"))
-    return out.withColumn(every, F.array_sort(F.concat(F.col(base), added))).drop("_assign", "_access", "_hex", "_runs")
+    out = out.withColumn(f"{mark}r", F.filter(f"{mark}r", mixed))
+    likely = lambda s: (model.best_column(s["value"]) > model.threshold) | (model.column(s["value"]) > model.threshold)
+    added = F.when(F.size(f"{mark}r") > 0, F.filter(f"{mark}r", likely)).otherwise(F.col(f"{mark}r"))
+    return out.withColumn(every, F.array_sort(F.concat(F.col(base), added))).drop(f"{mark}t", f"{mark}r")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovModel | None = None) -> DataFrame:
-    """One row per document with span counts and digests; repeated rows stay, an empty table gives no rows."""
+    """One row per document with span counts and digests; see :func:`find_secrets`.
+
+    Ids may be null or repeated; extra columns are ignored, whatever their names; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = find_secrets(rows, "text", model, "base", "every").select("doc_id", "base", "every")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -211,19 +239,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", model: MarkovModel | None = None) -> DataFrame:
-    """Replace every span (overlapping ones together) by ``mark``; columns and row count stay as they are.
-
-    Runs are judged by their parts, so this covers all spans of :func:`scan` and more.
-    """
+    """Replace every span of :func:`find_secrets` (overlapping ones together) by ``mark``; columns, whatever their
+    names, and row count stay as they are, null text too."""
     names = docs.columns
-    rows = find_secrets(docs, text_col, model, parts=True)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    # a span that begins before the end of what is already redacted only moves that end
-    walked = F.aggregate("_all_spans", start, lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(
-            text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).alias("out")))
-    cleaned = F.concat(F.array_join(walked["out"], ""), text.substr(walked["at"] + 1, F.length(text)))
-    rows = rows.withColumn(text_col, F.when(F.size("_all_spans") > 0, cleaned).otherwise(text))
+    base, every = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    rows = find_secrets(docs, text_col, model, base, every)
+    fill = lambda s, at: F.when(s["start"] >= at, F.lit(mark)).otherwise(F.lit(""))
+    rows = rows.withColumn(text_col, _replaced(F.col(text_col), F.col(every), fill))
     return rows.select(*names)
