@@ -131,11 +131,11 @@ def test_stream_to_table_and_replay(spark, tmp_path):
 
 def test_config_precedence(tmp_path):
     file = tmp_path / "c.toml"
-    file.write_text('[kafka]\ntopic = "file"\nbrokers = "b"\n[iceberg]\npartition_granularity = "daily"\nschema_mode = "catalog"\n')
-    app = config.load(str(file), {"OTEL_DATALAKE_KAFKA__TOPIC": "env", "OTEL_DATALAKE_ICEBERG__MAX_BATCH_RECORDS": "10"}, {"server": {"http_addr": "h"}})
+    file.write_text('[kafka]\ntopic = "file"\nbrokers = "b"\n[iceberg]\nlogs_table = "l"\ntraces_table = "t"\npartition_granularity = "daily"\nschema_mode = "catalog"\n')
+    app = config.load(str(file), {"TIDELINE_KAFKA__TOPIC": "env", "TIDELINE_ICEBERG__MAX_BATCH_RECORDS": "10"}, {"server": {"http_addr": "h"}})
     assert app.kafka.topic == "env" and app.kafka.brokers == "b" and app.server == {"grpc_addr": "0.0.0.0:4317", "http_addr": "h"}
     assert app.iceberg.policy().max_rows == 10 and app.iceberg.partition_granularity is Granularity.DAILY and app.chosen_sink() == "iceberg"
-    for bad in ({"iceberg": {"logs_table": "a", "traces_table": "a"}}, {"kafka": {"format": "avro"}}, {"kafka": {"nope": 1}}, {"iceberg": {"schema_mode": "x"}}):
+    for bad in ({"iceberg": {"logs_table": "a", "traces_table": "a"}}, {"iceberg": {"logs_table": "", "traces_table": ""}}, {"kafka": {"format": "avro"}}, {"kafka": {"nope": 1}}, {"iceberg": {"schema_mode": "x"}}):
         with pytest.raises(ConfigurationError):
             config.load(str(file), {}, bad)
     with pytest.raises(ConfigurationError):

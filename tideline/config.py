@@ -14,7 +14,8 @@ from tideline.operators.batching import FlushPolicy
 from tideline.operators.routing import TableMapping
 from tideline.operators.schema_mode import CatalogType, SchemaMode
 
-PREFIX = "OTEL_DATALAKE_"
+#: Of environment variables; a parameter of :func:`load`, for those who have others.
+PREFIX = "TIDELINE_"
 SINKS = ("iceberg", "kafka", "starrocks")
 DEFAULTS = {
     "pipeline": {"batch_size": 1000},
@@ -48,7 +49,7 @@ class IcebergConfig:
         self.catalog_type, self.schema_mode = CatalogType(self.catalog_type), SchemaMode(self.schema_mode)
         self.partition_granularity = Granularity(self.partition_granularity)
         tables = [self.table_for(s) for s in ("logs", "traces", "metrics")]
-        if len(set(tables)) != 3 and any((self.logs_table, self.traces_table, self.metrics_table)):
+        if len(set(tables)) != 3:
             raise ConfigurationError(f"the tables of the signals must differ: {tables}")
 
     def policy(self) -> FlushPolicy:
@@ -128,17 +129,17 @@ def merge(low: dict, high: dict) -> dict:
     return out
 
 
-def from_environment(environ: dict[str, str]) -> dict:
-    """``OTEL_DATALAKE_KAFKA__TOPIC=x`` is ``[kafka] topic``; values are read as TOML where they are."""
+def from_environment(environ: dict[str, str], prefix: str = PREFIX) -> dict:
+    """``TIDELINE_KAFKA__TOPIC=x`` is ``[kafka] topic``; values are read as TOML where they are."""
     out: dict = {}
     for name, text in environ.items():
-        if not name.startswith(PREFIX):
+        if not name.startswith(prefix):
             continue
         try:
             value = tomllib.loads(f"v = {text}")["v"]
         except tomllib.TOMLDecodeError:
             value = text
-        *path, last = name[len(PREFIX):].lower().split("__")
+        *path, last = name[len(prefix):].lower().split("__")
         at = out
         for p in path:
             at = at.setdefault(p, {})
@@ -158,7 +159,8 @@ def _section(kind, values):
         raise ConfigurationError(str(e)) from e
 
 
-def load(path: str | None = None, environ: dict[str, str] | None = None, arguments: dict | None = None) -> AppConfig:
+def load(path: str | None = None, environ: dict[str, str] | None = None, arguments: dict | None = None,
+         prefix: str = PREFIX) -> AppConfig:
     values = DEFAULTS
     file = Path(path) if path else Path("config.toml")
     if file.exists():
@@ -168,7 +170,7 @@ def load(path: str | None = None, environ: dict[str, str] | None = None, argumen
             raise ConfigurationError(f"{file}: {e}") from e
     elif path:
         raise ConfigurationError(f"no such file: {path}")
-    values = merge(values, from_environment(os.environ if environ is None else environ))
+    values = merge(values, from_environment(os.environ if environ is None else environ, prefix))
     values = merge(values, arguments or {})
     return AppConfig(values["pipeline"], values["server"], values["telemetry"], _section(IcebergConfig, values.get("iceberg")),
                      _section(KafkaConfig, values.get("kafka")), _section(StarRocksConfig, values.get("starrocks")), values.get("sink"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tideline.errors import ConfigurationError, SchemaError
-from tideline.schemas import ANY, ATTRIBUTES
+from tideline.schemas import ANY
 
-#: Levels of lists and maps inside a value; each level triples the plan, so raise it only for data that need it.
+_CASES = [f.split(":")[0] for f in ANY[len("STRUCT<"):-1].split(",")]
+
+#: Levels of lists and maps inside a value; each adds as much to the plan as the value itself.
 MAX_DEPTH = 2
 
 
@@ -21,20 +23,62 @@ def hex_text(raw: Column) -> Column:
     return F.lower(F.hex(raw))
 
 
+# The functions below are made as SQL text, which is parsed at once: built call by call, a decoding plan took seconds.
+
+
+def _each(items: Column, name: str, body: str) -> Column:
+    """``items`` with ``body``, SQL over the variable ``name``, for each."""
+    return F.call_function("transform", items, F.expr(f"{name} -> {body}"))
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` over a variable that stands for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _double_sql(value: str) -> str:
+    # "-1.5E-7" is split into what stands before the point, behind it, and the power of ten
+    parts = ("named_struct('sign', if(startswith(s[0], '-'), '-', ''), 'whole', trim(LEADING '-' FROM s[0]), "
+             "'tail', trim(TRAILING '0' FROM s[1]), 'power', coalesce(cast(get(s, 2) AS INT), 0))")
+    moved = ("concat(d.sign, CASE WHEN d.power < 0 THEN concat('0.', repeat('0', -d.power - 1), d.whole, d.tail) "
+             "WHEN d.power >= length(d.tail) THEN concat(d.whole, d.tail, repeat('0', d.power - length(d.tail))) "
+             "ELSE concat(d.whole, substring(d.tail, 1, d.power), '.', substring(d.tail, d.power + 1, length(d.tail))) END)")
+    finite = _let("split(t, '[.E]')", "s", _let(parts, "d", moved))
+    return _let(f"cast({value} AS STRING)", "t",
+                f"CASE WHEN t = 'NaN' THEN t WHEN endswith(t, 'Infinity') THEN replace(t, 'Infinity', 'inf') ELSE {finite} END")
+
+
 def double_text(value: Column) -> Column:
     """A double in positional form: ``1``, ``0.00001``, ``1000000000``, ``inf``, ``NaN``, ``-0``."""
-    text = value.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(text, "^-", "")
-    whole, tail = F.regexp_extract(body, r"^(\d+)\.(\d+)", 1), F.regexp_replace(F.regexp_extract(body, r"^(\d+)\.(\d+)", 2), "0+$", "")
-    power = F.coalesce(F.regexp_extract(body, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    n = F.length(tail)
-    moved = (
-        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, tail))
-        .when(power >= n, F.concat(whole, tail, F.repeat(F.lit("0"), power - n)))
-        .otherwise(F.concat(whole, F.substring(tail, F.lit(1), power), F.lit("."), F.substring(tail, power + 1, n)))
-    )
-    return (F.when(F.isnan(value), "NaN").when(body == "Infinity", F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, moved)))
+    return F.get(_each(F.array(value), "v", _double_sql("v")), F.lit(0))
+
+
+#: Items of a list are values, entries of a map have a key beside one: both are read alike.
+_NESTED = f"values ARRAY<{ANY[:-1]},key:STRING,value:{ANY}>>"
+
+
+def _value_sql(v: str, depth: int) -> str:
+    listed, names = f"{v}.arrayValue IS NOT NULL", [f"{x}{depth}" for x in "ipeu"]
+    if depth:
+        i, p, e, u = names
+        as_value = "named_struct(" + ", ".join(f"'{c}', {i}.{c}" for c in _CASES) + ")"
+        inner = _let(f"if({listed}, {as_value}, {i}.value)", u, _value_sql(u, depth - 1))
+        items = f"coalesce(from_json(coalesce({v}.arrayValue, {v}.kvlistValue), '{_NESTED}').`values`, array())"
+        pairs = f"transform({items}, {i} -> named_struct('key', coalesce({i}.key, ''), 'value', {inner}))"
+        joined = f"concat('[', array_join(transform({p}, {e} -> coalesce({e}.value, '')), ','), ']')"
+        nested = _let(pairs, p, f"if({listed}, {joined}, {_object_sql(p)})")
+    else:
+        nested = "cast(raise_error('value nested too deeply') AS STRING)"
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN {v}.stringValue IS NOT NULL THEN {v}.stringValue "
+            f"WHEN {v}.intValue IS NOT NULL THEN cast(cast({v}.intValue AS DECIMAL(20, 0)) AS STRING) "
+            f"WHEN {v}.doubleValue IS NOT NULL THEN {_double_sql(f'cast({v}.doubleValue AS DOUBLE)')} "
+            f"WHEN {v}.boolValue IS NOT NULL THEN lower({v}.boolValue) WHEN {listed} OR {v}.kvlistValue IS NOT NULL THEN {nested} "
+            f"WHEN {v}.bytesValue IS NOT NULL THEN lower(hex(unbase64({v}.bytesValue))) ELSE '' END")
+
+
+def _object_sql(pairs: str) -> str:
+    by_key = f"map_from_entries(filter({pairs}, f -> f.value IS NOT NULL))"
+    return f"coalesce(to_json(map_from_entries(array_sort(map_entries({by_key})))), '{{}}')"
 
 
 def any_value_text(value: Column, depth: int = MAX_DEPTH) -> Column:
@@ -43,34 +87,23 @@ def any_value_text(value: Column, depth: int = MAX_DEPTH) -> Column:
     Lists become ``[a,b]`` without quotes, maps a JSON object, bytes hex text.  Nesting below ``depth`` is an error,
     never cut off in silence.
     """
-    if depth:
-        items = F.from_json(value["arrayValue"], f"values ARRAY<{ANY}>")["values"]
-        listed = F.concat(F.lit("["), F.array_join(F.transform(
-            F.coalesce(items, F.array().cast(f"ARRAY<{ANY}>")), lambda v: F.coalesce(any_value_text(v, depth - 1), F.lit(""))), ","), F.lit("]"))
-        entries = F.from_json(value["kvlistValue"], f"values {ATTRIBUTES}")["values"]
-        mapped = attributes_json(entries, depth - 1)
-    else:
-        listed = mapped = F.raise_error(F.lit("value nested too deeply")).cast("string")
-    text = (
-        F.when(value["stringValue"].isNotNull(), value["stringValue"])
-        .when(value["intValue"].isNotNull(), value["intValue"].cast("decimal(20,0)").cast("string"))
-        .when(value["doubleValue"].isNotNull(), double_text(value["doubleValue"].cast("double")))
-        .when(value["boolValue"].isNotNull(), F.lower(value["boolValue"]))
-        .when(value["arrayValue"].isNotNull(), listed)
-        .when(value["kvlistValue"].isNotNull(), mapped)
-        .when(value["bytesValue"].isNotNull(), hex_text(F.unbase64(value["bytesValue"])))
-        .otherwise("")
-    )
-    return F.when(value.isNotNull(), text)
+    return F.get(_each(F.array(value), "v", _value_sql("v", depth)), F.lit(0))
 
 
-def attributes_json(entries: Column, depth: int = MAX_DEPTH) -> Column:
+def pairs_of(entries: Column, depth: int = MAX_DEPTH) -> Column:
+    """Attributes as an array of (key, value text)."""
+    return _each(entries, "a", f"named_struct('key', coalesce(a.key, ''), 'value', {_value_sql('a.value', depth)})")
+
+
+def json_object(pairs: Column) -> Column:
     """A JSON object of strings, ordered by key.  Absent values are left out; the last of a repeated key counts
     (by the map setting of ``tideline.session.SETTINGS``)."""
-    pairs = F.transform(
-        entries, lambda e: F.named_struct(F.lit("key"), F.coalesce(e["key"], F.lit("")), F.lit("value"), any_value_text(e["value"], depth)))
-    by_key = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(by_key)))), F.lit("{}"))
+    return F.get(_each(F.array(pairs), "p", _object_sql("p")), F.lit(0))
+
+
+def attributes_json(entries: Column, depth: int = MAX_DEPTH) -> Column:
+    """Attributes as the text of :func:`json_object`."""
+    return json_object(pairs_of(entries, depth))
 
 
 def nanos(text: Column) -> Column:

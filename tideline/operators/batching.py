@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -50,19 +48,3 @@ def replay(batches: DataFrame, policy: FlushPolicy, table: str = "table_name") -
     schema = f"{table} string, batch long, rows long, bytes long, at double, flush long"
     return batches.select(table, "batch", "rows", "bytes", "at").groupBy(table).applyInPandas(run, schema)
 
-
-def fixed_size_flush(df: DataFrame, order: str, batch_rows: int, max_rows: int, name: str = "flush") -> DataFrame:
-    """The flush of each row where rows come in order, numbered by ``order`` from 0, in batches of one size."""
-    per_flush = -(-max_rows // batch_rows) * batch_rows
-    return df.withColumn(name, F.floor(F.col(order) / per_flush).cast("long"))
-
-
-def chunks(rows: Iterator, size: int) -> Iterator[list]:
-    part = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

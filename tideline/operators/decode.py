@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.errors import SchemaError
-from tideline.functions.scalars import any_value_text, attributes_json, nanos, timestamp_of
+from tideline.functions.scalars import any_value_text, attributes_json, json_object, nanos, pairs_of, timestamp_of
 from tideline.schemas import flat_schema
 
 #: What may travel along with the records, e.g. the number of the request.
@@ -17,19 +17,19 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def service_name(attributes: Column) -> Column:
-    """The first attribute called ``service.name``; ``unknown`` without one or without its value."""
-    first = F.get(F.filter(attributes, lambda a: a["key"] == "service.name"), F.lit(0))["value"]
-    return F.coalesce(any_value_text(first), F.lit("unknown"))
+def service_name(pairs: Column) -> Column:
+    """The first of ``pairs`` (key, value text) called ``service.name``; ``unknown`` without one or without its value."""
+    return F.coalesce(F.get(F.filter(pairs, lambda a: a["key"] == "service.name"), F.lit(0))["value"], F.lit("unknown"))
 
 
 def _scopes(requests: DataFrame, outer: str, scopes: str) -> DataFrame:
     """One row per resource and scope; what belongs to the resource is computed once per resource."""
     carry = [c for c in (_CARRY,) if c in requests.columns]
     resources = requests.select(*carry, F.explode(outer).alias("r"))
+    resources = resources.select(*carry, pairs_of(F.col("r.resource.attributes")).alias("pairs"), F.col(f"r.{scopes}").alias("inner"))
     named = resources.select(
-        *carry, service_name(F.col("r.resource.attributes")).alias("service_name"),
-        attributes_json(F.col("r.resource.attributes")).alias("resource_attributes"), F.explode(f"r.{scopes}").alias("s"))
+        *carry, service_name(F.col("pairs")).alias("service_name"), json_object(F.col("pairs")).alias("resource_attributes"),
+        F.explode("inner").alias("s"))
     return named.withColumns({"scope_name": _text(F.col("s.scope.name")), "scope_version": _text(F.col("s.scope.version"))})
 
 
@@ -80,7 +80,8 @@ def histogram_value(point: Column) -> Column:
 
 
 def decode_metrics(requests: DataFrame, nanos_too: bool = False) -> DataFrame:
-    """``resourceMetrics`` trees to the 10 columns of metrics; kinds other than gauge, sum and histogram give no rows."""
+    """``resourceMetrics`` trees to the 10 columns of metrics; kinds other than gauge, sum and histogram give no rows
+    (:func:`dropped_points` counts them)."""
     rows = _scopes(requests, "resourceMetrics", "scopeMetrics").withColumn("m", F.explode("s.metrics"))
     point = lambda p, value: F.named_struct(F.lit("t"), p["timeUnixNano"], F.lit("v"), value(p), F.lit("a"), p["attributes"])
     points = F.coalesce(
@@ -94,6 +95,18 @@ def decode_metrics(requests: DataFrame, nanos_too: bool = False) -> DataFrame:
         description=_text(F.col("m.description")), unit=_text(F.col("m.unit")), value=x["v"], attributes=attributes_json(x["a"]))
 
 
+#: Kinds of metrics that have no rows.
+DROPPED = ("exponentialHistogram", "summary")
+
+
+def dropped_points(requests: DataFrame) -> DataFrame:
+    """``(kind, points)``: data points that :func:`decode_metrics` leaves out."""
+    metrics = requests.select(F.explode("resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
+    sizes = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.size(f"m.{k}.dataPoints"), F.lit(0)).alias("n")) for k in DROPPED])
+    each = metrics.select(F.explode(sizes).alias("x")).where("x.n > 0")
+    return each.groupBy(F.col("x.kind").alias("kind")).agg(F.sum("x.n").alias("points"))
+
+
 DECODERS = {"logs": decode_logs, "traces": decode_traces, "metrics": decode_metrics}
 
 

@@ -18,7 +18,8 @@ _LOG = (f"STRUCT<timeUnixNano:STRING,observedTimeUnixNano:STRING,severityNumber:
 _SPAN = (f"STRUCT<traceId:STRING,spanId:STRING,traceState:STRING,parentSpanId:STRING,name:STRING,kind:INT,"
          f"startTimeUnixNano:STRING,endTimeUnixNano:STRING,attributes:{ATTRIBUTES},status:STRUCT<code:INT,message:STRING>>")
 _METRIC = (f"STRUCT<name:STRING,description:STRING,unit:STRING,gauge:STRUCT<dataPoints:ARRAY<{_NUMBER}>>,"
-           f"sum:STRUCT<dataPoints:ARRAY<{_NUMBER}>>,histogram:STRUCT<dataPoints:ARRAY<{_HISTOGRAM}>>>")
+           f"sum:STRUCT<dataPoints:ARRAY<{_NUMBER}>>,histogram:STRUCT<dataPoints:ARRAY<{_HISTOGRAM}>>,"
+           "exponentialHistogram:STRUCT<dataPoints:ARRAY<STRUCT<timeUnixNano:STRING>>>,summary:STRUCT<dataPoints:ARRAY<STRUCT<timeUnixNano:STRING>>>>")
 REQUEST = {
     "logs": f"resourceLogs ARRAY<STRUCT<resource:{RESOURCE},scopeLogs:ARRAY<STRUCT<scope:{SCOPE},logRecords:ARRAY<{_LOG}>>>>>",
     "traces": f"resourceSpans ARRAY<STRUCT<resource:{RESOURCE},scopeSpans:ARRAY<STRUCT<scope:{SCOPE},spans:ARRAY<{_SPAN}>>>>>",

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tideline.errors import ConfigurationError
+
 #: Settings that parity of results rests on; the rest is left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +38,25 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, f"{top.name}/{source.relative_to(top)}")
     context.addPyFile(str(path))
     context._tideline_shipped = True
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the setting is absent and everything runs in one process is a temporary folder chosen.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tideline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/tideline-{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
+    return path

@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tideline.errors import ConfigurationError
 from tideline.operators.batching import FlushPolicy
-from tideline.operators.compliance import Engine, Mode
+from tideline.operators.compliance import Engine, Mode, Outcome
 from tideline.operators.routing import passthrough
 from tideline.schemas import SIGNALS
 from tideline.session import configure
@@ -36,6 +37,10 @@ class Pipeline:
     protobuf: bool = False
     max_files: int | None = None
 
+    def __post_init__(self):
+        if self.engine.mode in (Mode.QUARANTINE, Mode.REMAP) and self.quarantine is None:
+            raise ConfigurationError(f"mode {self.engine.mode.value} needs a sink for quarantined batches")
+
     def build(self, signal: str) -> DataFrame:
         read = landing.read_protobuf_files if self.protobuf else landing.read_json_lines
         return landing.decoded(read(self.spark, self.root, signal, stream=True, max_files=self.max_files), signal).transform(self.transform)
@@ -44,9 +49,8 @@ class Pipeline:
         def run(df: DataFrame, batch_id: int) -> None:
             if self.engine.mode is not Mode.OFF:
                 outcome, df = self.engine.assess(df)
-                if outcome.value == "quarantined":
-                    if self.quarantine:
-                        self.quarantine(df, batch_id)
+                if outcome is Outcome.QUARANTINED:
+                    self.quarantine(df, batch_id)
                     return
             self.sinks[signal](df, batch_id)
 

@@ -208,8 +208,41 @@ class Loaded(WriterCommitMessage):
     labels: list
 
 
+def pieces_under(batches, kind: WireFormat, limit: int):
+    """Payloads of at most ``limit`` bytes that hold the rows of ``batches`` in order; a single larger row is an error.
+
+    Rows are gathered up to about half the limit in memory, so a task never holds more than one payload and its rows.
+    """
+    def cut(table: pa.Table):
+        body = payload(table, kind)
+        if len(body) <= limit:
+            yield body
+        elif table.num_rows == 1:
+            raise StorageError(f"payload of {len(body)} bytes exceeds {limit}")
+        else:
+            half = table.num_rows // 2
+            yield from cut(table.slice(0, half))
+            yield from cut(table.slice(half))
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if 2 * size >= limit:
+            yield from cut(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
 class LoadWriter(DataSourceArrowWriter):
-    """One load per task.  V1 loads at once; V2 prepares in the task and commits on the driver when all tasks are done."""
+    """Loads of at most ``limit`` bytes, numbered in each task.
+
+    V1 loads at once: a task that fails after some loads leaves them, and its next attempt repeats their labels, which
+    the server knows (at least once, should labels have expired).  V2 prepares in the task and commits on the driver
+    when all tasks are done.
+    """
 
     def __init__(self, transport, table: str, label: str, kind: WireFormat, mode: TransactionMode, limit: int):
         self.transport, self.table, self.label, self.kind, self.mode, self.limit = transport, table, label, kind, mode, limit
@@ -217,22 +250,24 @@ class LoadWriter(DataSourceArrowWriter):
     def write(self, batches):
         from pyspark import TaskContext
 
-        label = f"{self.label}-{TaskContext.get().partitionId()}"
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return Loaded([])
-        body = payload(pa.Table.from_batches(rows), self.kind, self.limit)
-        if self.mode is TransactionMode.V1:
-            self.transport.load(self.table, label, body)
-            return Loaded([label])
-        self.transport.step("begin", self.table, label)
+        labels = []
         try:
-            self.transport.step("load", self.table, label, body)
-            self.transport.step("prepare", self.table, label)
+            for n, body in enumerate(pieces_under(batches, self.kind, self.limit)):
+                label = f"{self.label}-{TaskContext.get().partitionId()}" + (f"-{n}" if n else "")
+                if self.mode is TransactionMode.V1:
+                    self.transport.load(self.table, label, body)
+                    labels.append(label)
+                    continue
+                self.transport.step("begin", self.table, label)
+                labels.append(label)
+                self.transport.step("load", self.table, label, body)
+                self.transport.step("prepare", self.table, label)
         except StorageError:
-            self._rollback(label)
+            if self.mode is TransactionMode.V2:
+                for label in labels:
+                    self._rollback(label)
             raise
-        return Loaded([label])
+        return Loaded(labels)
 
     def commit(self, messages):
         if self.mode is TransactionMode.V2:
