@@ -86,3 +86,26 @@ def test_anchors_of_unique_text_stay_unique_across_chunks(monkeypatch):
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(9000))
     hashes = suffixes.anchors(text.encode(), 400)[3].tolist()
     assert len(set(hashes)) == len(hashes)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_windows_of_groups_match_brute_force(seed):
+    """Pieces of one anchor, some windows of which have too few owners at some offsets."""
+    rng = random.Random(seed)
+    length = 64
+    pieces = []
+    for _ in range(rng.randrange(1, 9)):
+        raw = bytearray(rng.choice((b"ab", b"abc")) * 50)
+        for _ in range(rng.randrange(3)):
+            raw[rng.randrange(len(raw))] = 120
+        first = rng.randrange(0, 20)
+        pieces.append((bytes(raw), 32, first, rng.randrange(first, 33)))
+    seen, aligned = {}, {}
+    for k, (raw, _, first, last) in enumerate(pieces):
+        for i in range(first, last + 1):
+            seen.setdefault(raw[i:i + length], []).append((k, i))
+            aligned.setdefault((i, raw[i:i + length]), []).append((k, i))
+    twice = lambda found: {x for where in found.values() if len(where) > 1 for x in where}
+    got = {(k, i) for k, a, b in zip(*(x.tolist() for x in suffixes.repeated_windows(pieces, length))) for i in range(a, b + 1)}
+    # anchors of equal windows are equally far off, so that nothing else is needed
+    assert twice(aligned) <= got <= twice(seen)

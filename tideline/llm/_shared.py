@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.errors import ConfigurationError
-from tideline.session import ship_package
+from tideline.session import scratch_path, ship_package
 
 #: Rows of a few numbers each that may be broadcast: some 30 MB in memory.  Beyond it, tables are joined by shuffles.
 BROADCAST_ROWS = 200_000
@@ -20,29 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent and everything runs in one process is a temporary folder chosen.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/tideline-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(jpath)
-    return path
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

@@ -242,6 +242,8 @@ def repeated_windows(pieces: list[tuple[bytes, int, int, int]], length: int):
     many = np.flatnonzero(size > 2)
     for o in range(STEP if len(many) else 0):
         k = many[(least[many] <= o) & (o <= most[many])]
+        if len(k) < 2:
+            continue
         halves = np.ascontiguousarray(edge[k, STEP - o:2 * STEP - o]).view("<u8")
         by = np.lexsort((halves[:, 0], halves[:, 1], run[k]))
         k, halves = k[by], halves[by]
