@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable, only_chosen, release, text_digest
+from tideline.llm._shared import durable, only_chosen, release, small, text_digest
 from tideline.llm.components import connected_components
 from tideline.llm.simhash import majority, pivot_distances, pivots, within
 
@@ -100,6 +100,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("th"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    nodes = small(nodes.select("node", "doc_id", "th"))
     same = texts["doc_id"].eqNullSafe(nodes["doc_id"]) & (texts["th"] == nodes["th"])
     return texts.join(nodes, same).select("node", "text").mapInArrow(run, "node long, sh array<long>")
 
