@@ -9,10 +9,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tideline.functions import scalars
 from tideline.operators import compliance, decode, layout, routing, schema_mode
-from tideline.operators.batching import fixed_size_flush
+from tideline.operators.batching import FlushPolicy, replay
 from tideline.plans import views
-from tideline.schemas import REQUEST
-from tideline.session import configure
+from tideline.session import configure, scratch_path
 from tideline.sources import landing
 from tideline.streaming import sinks
 
@@ -32,36 +31,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
-def _requests(spark: SparkSession, sf_dir: str, signal: str, record: str) -> DataFrame:
-    """A JSON request for each event, parsed again."""
-    outer, scopes, records = {"logs": ("resourceLogs", "scopeLogs", "logRecords"), "traces": ("resourceSpans", "scopeSpans", "spans"),
-                              "metrics": ("resourceMetrics", "scopeMetrics", "metrics")}[signal]
-    tree = (f"to_json(named_struct('{outer}', array(named_struct('resource', {RESOURCE}, '{scopes}', "
-            f"array(named_struct('scope', {SCOPE}, '{records}', array({record})))))))")
-    return landing.from_json_text(events(spark, sf_dir).select(F.expr(tree).alias("value")), signal)
-
-
-def decode_logs(spark, sf_dir):
-    record = (f"named_struct('timeUnixNano', {_NS}, 'severityNumber', cast(event_id % 24 as int), 'severityText', event_type, "
-              f"'body', named_struct('stringValue', concat('event ', cast(event_id as string))), 'attributes', {_KV}, 'flags', 1, "
-              "'traceId', upper(lpad(hex(event_id), 32, '0')), 'spanId', lpad(hex(user_id), 16, '0'))")
-    return decode.decode_logs(_requests(spark, sf_dir, "logs", record))
-
-
-def decode_traces(spark, sf_dir):
-    record = (f"named_struct('traceId', lpad(hex(event_id), 32, '0'), 'spanId', lpad(hex(user_id), 16, '0'), 'name', event_type, 'kind', 1, "
+_POINT = f"named_struct('timeUnixNano', {_NS}, 'asInt', if(event_id % 2 = 0, cast(event_id as string), null), 'attributes', {_KV})"
+_HISTOGRAM = f"named_struct('timeUnixNano', {_NS}, 'count', cast(event_id as string), 'sum', if(event_id % 5 = 0, '2.5', null), 'attributes', {_KV})"
+#: A record of each signal for an event.
+RECORDS = {
+    "logs": f"named_struct('timeUnixNano', {_NS}, 'severityNumber', cast(event_id % 24 as int), 'severityText', event_type, "
+            f"'body', named_struct('stringValue', concat('event ', cast(event_id as string))), 'attributes', {_KV}, 'flags', 1, "
+            "'traceId', upper(lpad(hex(event_id), 32, '0')), 'spanId', lpad(hex(user_id), 16, '0'))",
+    "traces": f"named_struct('traceId', lpad(hex(event_id), 32, '0'), 'spanId', lpad(hex(user_id), 16, '0'), 'name', event_type, 'kind', 1, "
               f"'startTimeUnixNano', {_NS}, 'endTimeUnixNano', {_NS}, 'attributes', {_KV}, "
-              "'status', if(event_id % 3 = 0, named_struct('code', 2, 'message', 'failed'), null))")
-    return decode.decode_traces(_requests(spark, sf_dir, "traces", record))
+              "'status', if(event_id % 3 = 0, named_struct('code', 2, 'message', 'failed'), null))",
+    "metrics": f"named_struct('name', event_type, 'unit', '1', 'gauge', if(event_id % 3 = 0, named_struct('dataPoints', array({_POINT})), null), "
+               f"'sum', if(event_id % 3 = 1, named_struct('dataPoints', array({_POINT})), null), "
+               f"'histogram', if(event_id % 3 = 2, named_struct('dataPoints', array({_HISTOGRAM})), null))",
+}
+_LEVELS = {"logs": ("resourceLogs", "scopeLogs", "logRecords"), "traces": ("resourceSpans", "scopeSpans", "spans"),
+           "metrics": ("resourceMetrics", "scopeMetrics", "metrics")}
+
+
+def trees(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
+    """``(event_id, value)``: a JSON request for each event."""
+    outer, scopes, records = _LEVELS[signal]
+    tree = (f"to_json(named_struct('{outer}', array(named_struct('resource', {RESOURCE}, '{scopes}', "
+            f"array(named_struct('scope', {SCOPE}, '{records}', array({RECORDS[signal]})))))))")
+    return events(spark, sf_dir).select("event_id", F.expr(tree).alias("value"))
 
 
-def decode_metrics(spark, sf_dir):
-    point = f"named_struct('timeUnixNano', {_NS}, 'asInt', if(event_id % 2 = 0, cast(event_id as string), null), 'attributes', {_KV})"
-    histogram = f"named_struct('timeUnixNano', {_NS}, 'count', cast(event_id as string), 'sum', if(event_id % 5 = 0, '2.5', null), 'attributes', {_KV})"
-    record = (f"named_struct('name', event_type, 'unit', '1', 'gauge', if(event_id % 3 = 0, named_struct('dataPoints', array({point})), null), "
-              f"'sum', if(event_id % 3 = 1, named_struct('dataPoints', array({point})), null), "
-              f"'histogram', if(event_id % 3 = 2, named_struct('dataPoints', array({histogram})), null))")
-    return decode.decode_metrics(_requests(spark, sf_dir, "metrics", record))
+def _decode(signal):
+    def run(spark, sf_dir):
+        return decode.DECODERS[signal](landing.from_json_text(trees(spark, sf_dir, signal), signal))
+    return run
 
 
 def _value_struct() -> Column:
@@ -105,11 +104,10 @@ def _partition(granularity):
 
 def _sorted(signal):
     def run(spark, sf_dir):
-        # the leading key deals the rows out; the place inside a service makes the order a value
-        df = _logs(spark, sf_dir)
-        first, *rest = layout.sort_columns(df, signal)
-        w = Window.partitionBy("service_name").orderBy(*rest, "event_id")
-        return df.select("event_id", "service_name", F.row_number().over(w).cast("long").alias("place"))
+        # the sort itself, then each row's place in its service; rows that tie in all keys are alike
+        df = layout.sort_signal(_logs(spark, sf_dir), signal).withColumn("at", F.monotonically_increasing_id())
+        keys = layout.SORT_KEYS[signal]
+        return df.select(*keys, F.row_number().over(Window.partitionBy("service_name").orderBy("at")).cast("long").alias("place"))
     return run
 
 
@@ -162,13 +160,18 @@ def union_all(spark, sf_dir):
 
 
 def flush_assignment(spark, sf_dir):
-    return fixed_size_flush(events(spark, sf_dir).select("event_id"), "event_id", 100, 250).groupBy("flush").agg(F.count("*").alias("n"))
+    size = F.lit(100)
+    batches = events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / size).alias("batch")).agg(F.count("*").alias("rows"))
+    batches = batches.select(F.lit("logs").alias("table_name"), "batch", "rows", F.lit(0).cast("long").alias("bytes"), F.lit(0.0).alias("at"))
+    return replay(batches, FlushPolicy(max_rows=250)).groupBy("flush").agg(F.sum("rows").alias("n"))
 
 
 def fanout_counts(spark, sf_dir):
-    df = _logs(spark, sf_dir)
-    side = lambda part, name: part.groupBy("severity_text").agg(F.count("*").alias("n")).select(F.lit(name).alias("output"), "severity_text", "n")
-    return side(df, "a").union(side(df.transform(routing.passthrough), "b"))
+    df, root = _logs(spark, sf_dir), scratch_path(spark, "fanout")
+    output = lambda name: lambda part, n: part.groupBy("severity_text").agg(F.count("*").alias("n")).write.parquet(f"{root}/{name}/{n}")
+    routing.Fanout([output("a"), output("b")])(df.transform(routing.passthrough), 7)
+    side = lambda name: spark.read.parquet(f"{root}/{name}/7").select(F.lit(name).alias("output"), "severity_text", "n")
+    return side("a").union(side("b"))
 
 
 def payload_json(spark, sf_dir):
@@ -201,9 +204,10 @@ def view_trace_range(spark, sf_dir):
 
 def queries() -> dict:
     out = {f.__name__: f for f in (
-        decode_logs, decode_traces, decode_metrics, any_value_text, attributes_json, hex_ids, ts_guard, schema_catalog, schema_auto, schema_fixed,
+        any_value_text, attributes_json, hex_ids, ts_guard, schema_catalog, schema_auto, schema_fixed,
         compliance_verdict, compliance_quarantine, remap_attributes, unified_union, union_all, flush_assignment, fanout_counts, payload_json,
         payload_csv, request_status, view_error_logs, view_metric_rollup, view_trace_range)}
+    out |= {f"decode_{s}": _decode(s) for s in RECORDS}
     out |= {f"partition_{g.value}": _partition(g) for g in scalars.Granularity}
     return out | {f"sort_{s}": _sorted(s) for s in layout.SORT_KEYS}
 
@@ -256,4 +260,4 @@ def oracle_sql() -> dict[str, str]:
         "view_trace_range": f"select event_id, name, timestamp from {logs} where service_name = 'user-7' and timestamp >= timestamp '2024-01-01' and timestamp < timestamp '2024-06-01'",
     }
     out |= {f"partition_{g}": f"select strftime(timestamp, '{p}') as partition, count(*) as n, min(event_id) as first_id from {logs} group by 1" for g, p in path.items()}
-    return out | {f"sort_{s}": f"select event_id, service_name, row_number() over (partition by service_name order by {k}, event_id) as place from {logs}" for s, k in order.items()}
+    return out | {f"sort_{s}": f"select service_name, {k}, row_number() over (partition by service_name order by {k}) as place from {logs}" for s, k in order.items()}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from enum import Enum
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -37,7 +37,9 @@ class TableSink:
     """Appends a signal to a directory of Parquet files by time, or to a catalogue table.
 
     A flush applies the schema policy, rebalances rows by partition, sorts them and commits all files at once.  A
-    micro-batch is recorded with its query, so a replayed one isn't written twice.
+    micro-batch is recorded with its query, so a replayed one isn't written twice.  Without a catalogue the commit is
+    that of Spark's job, file by file: readers during a flush may see part of it.  A call returns the rows it wrote;
+    an empty batch leaves nothing.
     """
 
     signal: str
@@ -50,9 +52,7 @@ class TableSink:
     max_records_per_file: int = 0
     query_id: str = "batch"
 
-    def __call__(self, df: DataFrame, batch_id: int = 0) -> int | None:
-        if df.isEmpty():
-            return 0
+    def __call__(self, df: DataFrame, batch_id: int = 0) -> int:
         spark = df.sparkSession
         known = schema_mode.table_schema(spark, self.table) if self.table else None
         df = schema_mode.apply(df, self.mode, known, self.log_dropped)
@@ -60,17 +60,22 @@ class TableSink:
             n = df.count()
             log.info("dry run: %d rows of %s", n, self.signal)
             return n
+        if not self.table and not self.path:
+            raise ConfigurationError("a table sink needs a path or a table")
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))  # counted on the way, so the source is read once
         if self.table:
             layout.sort_signal(df, self.signal, total=False).writeTo(self.table).append()
-            return None
-        if not self.path:
-            raise ConfigurationError("a table sink needs a path or a table")
+            return seen.get["rows"]
         out = layout.laid_out(df, self.signal, self.granularity)
         # the batch is one directory level: overwriting it makes a replay idempotent
         target = f"{self.path.rstrip('/')}/batch={self.query_id}-{batch_id}"
         names = layout.partition_names(self.granularity)
         out.write.mode("overwrite").option("maxRecordsPerFile", self.max_records_per_file).partitionBy(*names).parquet(target)
-        return None
+        if not seen.get["rows"]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        return seen.get["rows"]
 
 
 def read_table(spark, path: str) -> DataFrame:
