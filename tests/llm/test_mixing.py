@@ -1,5 +1,7 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.cases import awkward, frame
 
@@ -73,3 +75,33 @@ def test_bounded_driver_and_dataframe_rounds_agree(spark):
         a = {r[:3]: r[4] for r in map(tuple, mixing.fit_probabilities(cells(spark), t, rounds=2).collect())}
         b = {r[:3]: r[4] for r in map(tuple, mixing.fit_probabilities(cells(spark), t, rounds=2, driver_cells=0).collect())}
         assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-9 for k in a)
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_sample_meets_what_is_within_reach(spark):
+    """Tokens that are really sampled, value by value, beside the goals."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    goals = {(r["dimension"], r["value"]): r for r in mixing.report(docs).collect()}
+    rows = mixing.calibrated(docs)
+    for d in mixing.DIMENSIONS:
+        got = {r[0]: (r[1], r[2]) for r in rows.groupBy(f"_{d}").agg(
+            F.sum(F.when(F.col("_kept"), F.col("_tokens"))), F.sum(F.col("_tokens") * F.col("_p"))).collect()}
+        kept, expected = (sum(v[i] or 0 for v in got.values()) for i in range(2))
+        for value, (n, e) in got.items():
+            goal = goals[d, value]
+            assert abs(goal["expected"] - e / expected) < 1e-6
+            assert abs(goal["expected"] - goal["goal"]) < 0.01, (d, value)
+            assert abs(n / kept - goal["goal"]) < 0.02  # and the noise of drawing whole documents
+            if goal["within_reach"] and all(g["within_reach"] for k, g in goals.items() if k[0] == d):
+                assert abs(goal["goal"] - goal["target"]) < 1e-9
+
+
+def test_columns_called_like_added_ones(spark):
+    docs = frame(spark).withColumns({c: F.lit("mine") for c in mixing.ADDED})
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and {r["_p"] for r in kept.collect()} == {"mine"}
+    assert kept.count() == mixing.sample(frame(spark)).count()
+    assert mixing.calibrated(docs).where("_p <= 1").count() == docs.count()

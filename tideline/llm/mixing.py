@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,33 +189,63 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+#: Columns that :func:`calibrated` adds.
+ADDED = ("_source", "_lang", "_topic", "_tokens", "_p", "_kept")
+
+
 def calibrated(docs: DataFrame, targets: dict[str, dict | float] | None = None, keep: float = 0.75, rounds: int = 12,
                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None,
-               tokens: Column | None = None, driver_cells: int = DRIVER_CELLS, bounded: bool = True) -> DataFrame:
+               tokens: Column | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """``docs`` with ``_source, _lang, _topic, _tokens, _p`` (probability) and ``_kept``.
 
-    Cells (source, language, topic) are sampled with the probabilities of :func:`fit_probabilities`.  Without
-    ``bounded``, as the SQL of ``op4_mixing`` has it, a cell whose raked weight is w of its t tokens has the probability
-    ``min(1, keep * w / t)``, and what the bound takes away is missing from the sample.  The default target of each dimension is its token shares to the power 0.5, which
-    flattens them.  A document's draw depends on its id alone, so repeated rows share it.
+    Cells (source, language, topic) are sampled with the probabilities of :func:`fit_probabilities`.  The default target
+    of each dimension is its token shares to the power 0.5, which flattens them.  A document's draw depends on its id
+    alone, so repeated rows share it.  Nulls in source, language or topic are the value ``unknown``; null text is empty
+    text, which weighs one token, as does a null id's; very long texts weigh by their length; columns of ``docs`` that
+    are called like an added one give way to it; an empty table gives no rows.
     """
     targets = targets or dict.fromkeys(DIMENSIONS, 0.5)
-    rows = prepared(docs, text_col, topic, tokens)
-    cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")
-                         ).agg(F.sum("_tokens").alias("tokens"))
-    if bounded:
-        fitted = fit_probabilities(cells, targets, keep, rounds, driver_cells)
-    else:
-        fitted = rake(cells, targets, rounds, driver_cells).withColumn(
-            "p", F.least(F.lit(1.0), F.lit(keep) * F.col("weight") / F.col("tokens")))
-    raked = fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
-                          F.col("p").alias("_p"))
-    raked = durable(raked, "mix-probabilities")
-    small = F.broadcast(raked) if raked.count() <= driver_cells else raked
-    out = rows.join(small, ["_source", "_lang", "_topic"])
+    rows = prepared(docs.drop(*ADDED), text_col, topic, tokens)
+    fitted = fit_probabilities(_cells(rows), targets, keep, rounds, driver_cells)
+    fitted = fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
+                           F.col("p").alias("_p"))
+    fitted = durable(fitted, "mix-probabilities")
+    few = F.broadcast(fitted) if fitted.count() <= driver_cells else fitted
+    out = rows.join(few, ["_source", "_lang", "_topic"])
     return out.withColumn("_kept", uniform(F.col(id_col), seed) < F.col("_p"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled documents, with their columns as they were."""
-    return calibrated(docs, **options).where("_kept").select(*docs.columns)
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")
+                        ).agg(F.sum("_tokens").alias("tokens"))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: str = "mix", **options) -> DataFrame:
+    """The sampled documents of :func:`calibrated`, with their columns, whatever their names, as they were."""
+    own = f"_{uuid.uuid4().hex}"
+    rows = docs.select(F.struct("*").alias(own), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "source", "lang")
+    return calibrated(rows, seed=seed, **options).where("_kept").select(f"{own}.*")
+
+
+def report(docs: DataFrame, targets: dict[str, dict | float] | None = None, keep: float = 0.75, rounds: int = 12,
+           topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """``(dimension, value, target, goal, expected, within_reach)``: shares of the sample's tokens.
+
+    ``goal`` is the target where all targets are within reach; else values out of reach are sampled whole and the rest
+    is dealt to the others.  ``expected`` is what the fitted probabilities give.
+    """
+    targets = targets or dict.fromkeys(DIMENSIONS, 0.5)
+    cells = durable(_cells(prepared(docs.drop(*ADDED), topic=topic, tokens=tokens)), "mix-cells")
+    fitted = durable(fit_probabilities(cells, targets, keep, rounds), "mix-probabilities")
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    kept = fitted.agg(F.sum(F.col("tokens") * F.col("p"))).first()[0] or 0.0
+    out = None
+    for d in DIMENSIONS:
+        goals = _goal_table(cells, d, targets[d], keep * whole).join(_targets(cells, d, targets[d]), d)
+        got = fitted.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("got"))
+        part = goals.join(got, d).select(
+            F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col("share").alias("target"),
+            F.try_divide(F.col("goal"), F.lit(keep * float(whole))).alias("goal"),
+            F.try_divide(F.col("got"), F.lit(float(kept))).alias("expected"), (~F.col("whole")).alias("within_reach"))
+        out = part if out is None else out.union(part)
+    return out

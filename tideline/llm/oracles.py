@@ -34,17 +34,30 @@ select doc_id, octet_length(raw)::bigint as n_bytes, coalesce(n_removed, 0)::big
 from d left join removed using (rid)"""
 
 
-def mix() -> str:
-    """Raking as a chain of windows, one a round and dimension."""
-    steps = ["s0 as (select source, lang, topic, tokens, tokens::double as w from cells)"]
-    for n in range(12 * len(mixing.DIMENSIONS)):
+def mix(keep: float = 0.75, rounds: int = 12) -> str:
+    """Raking under the bound p <= 1 as a chain of windows, one a step.
+
+    The values of a dimension are put in the order in which they run out of tokens as the sample's level rises; the
+    first level that the next value can bear is the one at which the others share what is left.
+    """
+    goals = ",\n".join(f"""
+t_{d} as (select {d}, sum(tokens)::double as t, pow(sum(tokens)::double, 0.5) / sum(pow(sum(tokens)::double, 0.5)) over () as share from cells group by {d}),
+o_{d} as (
+  select *, (wanted - coalesce(sum(t) over before, 0)) / (1 - coalesce(sum(share) over before, 0)) as level, row_number() over (order by t / share, {d}) as i
+  from t_{d}, (select {keep}::double * sum(tokens) as wanted from cells)
+  window before as (order by t / share, {d} rows between unbounded preceding and 1 preceding)),
+l_{d} as (select min(i) as i, min_by(level, i) as level from o_{d} where t / share > level),
+g_{d} as (select {d}, case when o.i < l.i then t else share * l.level end as goal, o.i < l.i as whole from o_{d} o, l_{d} l)""" for d in mixing.DIMENSIONS)
+    steps = [f"s0 as (select source, lang, topic, tokens, {keep}::double as m from cells)"]
+    for n in range(rounds * 2 * len(mixing.DIMENSIONS)):
         d = mixing.DIMENSIONS[n % len(mixing.DIMENSIONS)]
-        steps.append(f"s{n + 1} as (select s.source, s.lang, s.topic, s.tokens, s.w * t.share * (select sum(tokens) from cells)"
-                     f" / sum(s.w) over (partition by s.{d}) as w from s{n} s join t_{d} t on t.{d} = s.{d})")
-    shares = ",\n".join(
-        f"t_{d} as (select {d}, pow(sum(tokens)::double, 0.5) / sum(pow(sum(tokens)::double, 0.5)) over () as share from cells group by {d})"
-        for d in mixing.DIMENSIONS)
-    rounds = ",\n".join(steps)
+        steps.append(f"""s{n + 1} as (
+  select source, lang, topic, tokens, least(1e9::double, m * case when whole then 1e9::double when one + below > goal then goal / (one + below)
+    when below > 0 then (goal - one) / below else 1.0::double end) as m
+  from (select s.*, goal, whole, sum(case when m >= 1 then tokens else 0 end) over (partition by s.{d})::double as one,
+      sum(case when m < 1 then tokens * m else 0.0::double end) over (partition by s.{d}) as below
+    from s{n} s join g_{d} g on g.{d} = s.{d}))""")
+    chain = ",\n".join(steps)
     return f"""
 with d as (
   select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang,
@@ -53,13 +66,12 @@ with d as (
     greatest(1, ceil(strlen(coalesce(text, '')) / 4.0))::bigint as tokens
   from documents),
 cells as (select source, lang, topic, sum(tokens)::bigint as tokens from d group by all),
-{shares},
-{rounds}
-select d.doc_id, d.source, d.lang, d.topic, d.tokens,
-  round(least(1.0::double, 0.75::double * c.w / c.tokens), 9) as probability,
-  (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double)
-    < least(1.0::double, 0.75::double * c.w / c.tokens) as kept
-from d join s{len(steps) - 1} c on d.source = c.source and d.lang = c.lang and d.topic = c.topic"""
+{goals},
+{chain},
+p as materialized (select source, lang, topic, least(1.0::double, m) as p from s{len(steps) - 1})
+select d.doc_id, d.source, d.lang, d.topic, d.tokens, round(p.p, 9) as probability,
+  (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double) < p.p as kept
+from d join p on d.source = p.source and d.lang = p.lang and d.topic = p.topic"""
 
 
 def _quoted(text: str) -> str:
