@@ -86,7 +86,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
                  shard_bytes: int = 64 << 20) -> DataFrame:
     """Store the texts of ``docs`` and return the manifest, one row per document.
 
-    A task appends the images of its documents to tar shards of about ``shard_bytes``, each image once a task and
+    A task appends the images of its documents to tar shards of about ``shard_bytes``, each image once a shard and
     under its digest.  A row names the digest of the stored form, its shard, and the offset and length of the image
     itself inside the shard.  Every attempt of a task writes shards of new names: the manifest of the attempt that
     counts never points at another's bytes, and ``sweep`` removes shards that no row names.
@@ -94,7 +94,6 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         filesystem, base = _filesystem(root)
-        filesystem.create_dir(base, recursive=True)
         name, out, at, seen = None, None, 0, {}
         try:
             for batch in batches:
@@ -107,7 +106,9 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
                             if out is not None:
                                 out.write(b"\0" * 1024)
                                 out.close()
-                            name, at, seen = f"{uuid.uuid4().hex}.tar", 0, {}
+                            name = uuid.uuid4().hex
+                            name, at, seen = f"{name[:2]}/{name}.tar", 0, {}
+                            filesystem.create_dir(f"{base}/{name[:2]}", recursive=True)
                             out = filesystem.open_output_stream(f"{base}/{name}")
                         stored = encode(payload_of(raw))
                         digest = hashlib.sha256(stored).hexdigest()
@@ -133,15 +134,27 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
 
 
 def sweep(root: str, manifest: DataFrame) -> int:
-    """Remove shards that no row of ``manifest`` names (left by lost attempts); their number is returned."""
-    from pyarrow import fs
+    """Remove shards that no row of ``manifest`` names (left by lost attempts); their number is returned.
+
+    Shards lie in 256 folders by the start of their names; each is listed in a task beside the names that count.
+    """
+    spark = manifest.sparkSession
+    named = manifest.select("shard").distinct().select(F.substring("shard", 1, 2).alias("at"), "shard")
+    folders = spark.range(256).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("at"))
+
+    def clean(folder: pa.Table, names: pa.Table) -> pa.Table:
+        from pyarrow import fs
 
-    filesystem, base = _filesystem(root)
-    there = [f.base_name for f in filesystem.get_file_info(fs.FileSelector(base, allow_not_found=True))]
-    named = {r[0] for r in manifest.select("shard").distinct().collect()}  # a name per 64 MB of images
-    for name in set(there) - named:
-        filesystem.delete_file(f"{base}/{name}")
-    return len(set(there) - named)
+        filesystem, base = _filesystem(root)
+        counts, gone = set(names.column("shard").to_pylist()), 0
+        for at in folder.column("at").to_pylist():
+            for file in filesystem.get_file_info(fs.FileSelector(f"{base}/{at}", allow_not_found=True)):
+                if f"{at}/{file.base_name}" not in counts:
+                    filesystem.delete_file(file.path)
+                    gone += 1
+        return pa.table({"n": pa.array([gone], pa.int64())})
+
+    return folders.groupBy("at").cogroup(named.groupBy("at")).applyInArrow(clean, "n long").agg(F.sum("n")).first()[0]
 
 
 def _open(filesystem, base: str, shard: str, opened: dict):
@@ -160,8 +173,12 @@ def locations(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("digest").agg(first).select("digest", "p.*")
 
 
+PLACES = "digest string, shard string, offset long, length long, n_bytes long"
+METADATA = f"{PLACES}, width long, height long, bits long, channels long"
+
+
 def read_metadata(places: DataFrame, root: str) -> DataFrame:
-    """Width, height, bits and channels of each digest, from range reads of 33 bytes."""
+    """``places`` with width, height, bits and channels of each image, from range reads of 33 bytes."""
 
     def run(batches):
         filesystem, base = _filesystem(root)
@@ -171,43 +188,42 @@ def read_metadata(places: DataFrame, root: str) -> DataFrame:
             for shard, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found.append(header(_open(filesystem, base, shard, opened).read_at(HEADER_BYTES, offset)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([f[k] for f in found], pa.int64()) for k in ("width", "height", "bits", "channels")]],
-                names=["digest", "width", "height", "bits", "channels"])
+                [*batch.columns, *[pa.array([f[k] for f in found], pa.int64()) for k in ("width", "height", "bits", "channels")]],
+                names=[c.split()[0] for c in METADATA.split(", ")])
 
-    return places.select("digest", "shard", "offset").mapInArrow(run, "digest string, width long, height long, bits long, channels long")
+    rows = places.select(*[c.split()[0] for c in PLACES.split(", ")]).sortWithinPartitions("shard", "offset")
+    return rows.mapInArrow(run, METADATA)
 
 
-FEATURES = ("digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-            "media_sha256 string, feature string, text_bytes long, text_sha256 string")
+FEATURES = ("digest string, width long, height long, bits long, channels long, payload_bytes long, payload_sha256 string, "
+            "tail_crc32 long, media_bytes long, media_sha256 string, feature string, text_bytes long, text_sha256 string")
 
 
-def read_features(places: DataFrame, root: str) -> DataFrame:
-    """Checksums and the feature of each digest, from the bytes that are stored.
+def read_features(described: DataFrame, root: str) -> DataFrame:
+    """Checksums and the feature of each image of :func:`read_metadata`, from the bytes that are stored.
 
     An image whose bytes don't have its digest raises an error: wrong data are never returned.
     """
+    fields = ("width", "height", "bits", "channels")
 
     def run(batches):
         filesystem, base = _filesystem(root)
         opened = {}
         for batch in batches:
-            out = [[] for _ in range(9)]
-            for digest, shard, offset, length, n_bytes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            out = [[] for _ in range(13)]
+            for digest, shard, offset, length, n_bytes, *meta in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 stored = _open(filesystem, base, shard, opened).read_at(length, offset)
                 if hashlib.sha256(stored).hexdigest() != digest:
                     raise ValueError(f"{shard} at {offset}: stored bytes don't match {digest}")
                 payload = decode(stored)
-                meta = header(stored[:HEADER_BYTES])
-                row = (digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored),
-                       digest, feature_of(payload, meta), n_bytes, hashlib.sha256(payload[:n_bytes]).hexdigest())
+                row = (digest, *meta, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored),
+                       digest, feature_of(payload, dict(zip(fields, meta))), n_bytes, hashlib.sha256(payload[:n_bytes]).hexdigest())
                 for column, value in zip(out, row):
                     column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                             names=[c.split()[0] for c in FEATURES.split(", ")])
+            names, kinds = zip(*(c.split() for c in FEATURES.split(", ")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(out, kinds)], names=list(names))
 
-    rows = places.select("digest", "shard", "offset", "length", "n_bytes").sortWithinPartitions("shard", "offset")
-    return rows.mapInArrow(run, FEATURES)
+    return described.mapInArrow(run, FEATURES)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
@@ -223,8 +239,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = durable(locations(manifest), "media-places")
     n = max(1, places.rdd.getNumPartitions())
     by_place = places.repartitionByRange(4 * n, "shard", "offset") if places.take(1) else places
-    meta, features = read_metadata(by_place, root), read_features(by_place, root)
-    known = features.join(meta, "digest")
+    # a written table has plain shuffles under the join, so a frequent text can be split
+    known = durable(read_features(read_metadata(by_place, root), root), "media-known")
     return manifest.select("doc_id", "n_bytes", "digest", "shard", "offset", "length").join(known, "digest")
 
 
