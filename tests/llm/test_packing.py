@@ -5,7 +5,7 @@ import pytest
 from tests.llm.cases import awkward, frame
 from tokenizers import Tokenizer
 
-from tideline.llm import packing
+from tideline.llm import packing, queries
 from tideline.llm.queries import token_files
 
 HARD = ["a  b", " lead", "trail ", "a\n b", "a \n\n b\t c", "it's  'll x", "<|endoftext|> a b", "é ü  x y z", "\x1c a \x85 b",
@@ -80,3 +80,29 @@ def test_conversations_are_never_cut(spark):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), **token_files()).count() == 0
+
+
+def test_conversation_query_matches_a_plain_count(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    turns = []
+    for c in range(120):
+        for t in range(int(rng.integers(1, 7))):
+            text = "word " * int(rng.integers(0, 8 if c % 3 == 0 else 160))
+            turns.append((c, t, "assistant" if t % 2 else "user", text if rng.random() < 0.9 else None))
+    turns += [(None, 0, "user", "lost"), (500, 0, "assistant", "word " * 5000), (501, 0, None, "x"), turns[0]]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    full = Tokenizer.from_file(token_files()["vocab"])
+    want = {}
+    for c, _, role, text in turns:
+        if c is not None:
+            n = len(full.encode(text or "", add_special_tokens=False).ids) + 1
+            want[c] = want.get(c, np.zeros(3, dtype=int)) + (n, 1, n * (role == "assistant"))
+    got = queries.packing_conversations(spark, str(tmp_path)).collect()
+    assert {r["item_id"]: (r["tokens"], r["segments"], r["loss_tokens"]) for r in got} == {c: tuple(v) for c, v in want.items()}
+    bins = {}
+    for r in got:
+        if r["bin_id"] is not None:
+            bins.setdefault(r["bin_id"], []).append(want[r["item_id"]])
+    loads = np.array([sum(v) for v in bins.values()])
+    assert (loads <= (2048, 16, 1024)).all() and [r["item_id"] for r in got if r["bin_id"] is None] == [500]
+    assert all((loads[:, i] > 0.85 * limit).any() for i, limit in enumerate((2048, 16, 1024)))  # each limit binds somewhere

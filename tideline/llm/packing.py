@@ -80,13 +80,22 @@ def _token_ids(vocab: str, ranks: str | None) -> TokenIds:
     return TokenIds(vocab, ranks)
 
 
-def dot_product_bins(items: list[tuple[int, int, int]], limits: tuple[int, int, int], cut: bool = False):
+def _share(take: int, tokens: int, loss: int) -> int:
+    """Loss tokens of a piece: those of its item in proportion, rounded up."""
+    return -(-loss * take // tokens)
+
+
+def _all_but_first(take: int, tokens: int, loss: int) -> int:
+    return max(0, take - 1)
+
+
+def dot_product_bins(items: list[tuple[int, int, int]], limits: tuple[int, int, int], cut: bool = False, piece_loss=_share):
     """Bins of ``(item, start, length)`` for items of (tokens, segments, loss tokens) under three limits at once.
 
     The open bin takes the fitting item with the largest dot product of what the bin has left and what the item
     needs, both as shares of the limits and weighted by the overall demand; ties go to the earlier item.
     With ``cut`` an item may be split when nothing whole fits: the largest one left gives as much as the bin holds.
-    The loss tokens of a piece are those of its item in proportion, rounded up.  An item that exceeds a limit and
+    ``piece_loss(take, tokens, loss)`` gives the loss tokens of a piece of what is left of an item.  An item that exceeds a limit and
     can't be cut raises ValueError.
     """
     if not items:
@@ -116,12 +125,13 @@ def dot_product_bins(items: list[tuple[int, int, int]], limits: tuple[int, int,
                     break
             else:
                 break
-            loss = np.ceil(need[k, 2] * take / need[k, 0])
+            tokens, whole = int(need[k, 0]), int(need[k, 2])
+            loss = piece_loss(take, tokens, whole)
             content.append((k, int(done[k]), take))
             left -= (take, need[k, 1], min(loss, left[2]))
             done[k] += take
-            need[k, 2] -= min(loss, need[k, 2])
             need[k, 0] -= take
+            need[k, 2] = piece_loss(tokens - take, tokens, whole) if take < tokens else 0
             used[k] = True
             open_items[k] = need[k, 0] > 0
         bins.append(content)
@@ -162,7 +172,7 @@ def pack_window(lengths: list[int], max_tokens: int, max_segments: int, max_loss
             rest = n - full * max_tokens
             items.append((rest, 1, max(0, rest - 1)))
             origin.append((d, full * max_tokens))
-    for content in dot_product_bins(items, (max_tokens, max_segments, max_loss), cut=True):
+    for content in dot_product_bins(items, (max_tokens, max_segments, max_loss), cut=True, piece_loss=_all_but_first):
         pieces = [(origin[k][0], origin[k][1] + start, length) for k, start, length in content]
         total = sum(p[2] for p in pieces)
         sequences += [pieces] if total == max_tokens else regroup(pieces, powers_of_two(total))
@@ -176,7 +186,8 @@ def pack(docs: DataFrame, vocab: str, ranks: str | None = None, id_col: str = "d
     A document's ids are the tokenizer's, without special ones, and id 1 at the end (null or empty text: just id 1).
     All but the first id of a piece bear loss.  Partitions are packed on their own in windows of ``window``
     documents, so nothing is shuffled and memory is bounded by a window; sequence ids carry the partition number.
-    Repeated rows are documents of their own; ids may be null; an empty table gives no rows.
+    Repeated rows are documents of their own; ids may be null; very long texts are cut; extra columns are ignored; an
+    empty table gives no rows.  A limit on loss below ``max_tokens - 1`` is kept by shorter sequences.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -234,3 +245,24 @@ def pack_conversations(turns: DataFrame, max_tokens: int = 2048, max_segments: i
 
     packed = dealt.groupBy("_g").applyInArrow(run, "item_id long, bin_id long")
     return packed.union(rows.where(~fit).select(F.col("item_id").cast("long"), F.lit(None).cast("long")))
+
+
+def conversation_items(turns: DataFrame, vocab: str, ranks: str | None = None) -> DataFrame:
+    """``(conv_id, turn, role, text)`` -> ``(item_id, tokens, segments, loss_tokens)``: one item a conversation.
+
+    A turn is a segment, its ids and id 1; only those of the assistant bear loss.  Null text is empty text; turns
+    without conv_id are left out; repeated rows are turns of their own; an empty table gives no rows.
+    """
+    rows = turns.where(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
+
+    def run(batches):
+        known = _token_ids(vocab, ranks)
+        for batch in batches:
+            sizes = [len(known.ids(t.as_py())) // 4 + 1 for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], names=["item_id", "n", "bears"])
+
+    counted = rows.mapInArrow(run, "item_id long, n long, bears boolean")
+    return counted.groupBy("item_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("segments"),
+                                          F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("loss_tokens"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import ann, media, mixing, packing, quality, secrets, simhash, suffixes, toxicity, urlrules
-from tideline.llm._shared import table
+from tideline.llm._shared import durable, table
 from tideline.llm.oracles import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
@@ -58,6 +58,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **token_files())
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, turns and assistant tokens, all of which bind."""
+    items = durable(packing.conversation_items(table(spark, sf_dir, "conversations"), **token_files()), "pack-items")
+    return packing.pack_conversations(items).join(items, "item_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,4 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_suffixes, op3_media, op4_mixing, op5_toxicity, op6_quality, op7_urls, op8_packing, op9_simhash, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_ann, op2_suffixes, op3_media, op4_mixing, op5_toxicity, op6_quality, op7_urls, op8_packing, op9_simhash, op10_secrets, pipeline,
+                                   packing_conversations)}
