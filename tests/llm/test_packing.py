@@ -86,8 +86,8 @@ def test_conversation_query_matches_a_plain_count(spark, tmp_path):
     rng = np.random.default_rng(6)
     turns = []
     for c in range(120):
-        for t in range(int(rng.integers(1, 7))):
-            text = "word " * int(rng.integers(0, 8 if c % 3 == 0 else 160))
+        for t in range(6 if c % 3 == 0 else 2):
+            text = "word " * int(rng.integers(0, 8 if c % 3 == 0 else 400 if (c + t) % 2 else 700))
             turns.append((c, t, "assistant" if t % 2 else "user", text if rng.random() < 0.9 else None))
     turns += [(None, 0, "user", "lost"), (500, 0, "assistant", "word " * 5000), (501, 0, None, "x"), turns[0]]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -105,4 +105,4 @@ def test_conversation_query_matches_a_plain_count(spark, tmp_path):
             bins.setdefault(r["bin_id"], []).append(want[r["item_id"]])
     loads = np.array([sum(v) for v in bins.values()])
     assert (loads <= (2048, 16, 1024)).all() and [r["item_id"] for r in got if r["bin_id"] is None] == [500]
-    assert all((loads[:, i] > 0.85 * limit).any() for i, limit in enumerate((2048, 16, 1024)))  # each limit binds somewhere
+    assert all((loads[:, i] >= 0.85 * limit).any() for i, limit in enumerate((2048, 16, 1024))), loads.max(axis=0)  # each limit binds somewhere
