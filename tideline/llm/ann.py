@@ -143,6 +143,32 @@ def build_lists(sample: np.ndarray, n_lists: int, norm: float, degree: int = 16,
     return lists
 
 
+def fitted_ratio(lists: Lists, sample: np.ndarray, k: int, replicas: int, slack: float, recall: float,
+                 least: int, queries: int = 256) -> float:
+    """The distance ratio under which ``recall`` of the sample's own neighbours lie in a list that is searched.
+
+    For up to ``queries`` vectors of the sample and their ``k`` nearest in it: how much further than the nearest list
+    is the nearest of the lists that hold the neighbour.  Of a sample, ``k`` is that share of the wanted neighbours.
+    """
+    if len(sample) < 2:
+        return 0.0
+    at = np.unique(np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int))
+    near = sample[at] @ sample.T
+    near[np.arange(len(at)), at] = -np.inf
+    k = min(k, len(sample) - 1)
+    near = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    found, where = np.unique(near, return_inverse=True)
+    where = where.reshape(near.shape)
+    parts = [lists.lists_of_vectors(sample[found[i:i + 512]], replicas, slack) for i in range(0, len(found), 512)]
+    ids, keep = (np.concatenate(x) for x in zip(*parts))
+    x, c = lists.lift(sample[at], True), lists.centroids
+    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0))
+    best = np.maximum(d.min(axis=1), 1e-12)
+    d[d <= np.sort(d, axis=1)[:, min(least, d.shape[1]) - 1:][:, :1]] = 0  # searched in any case
+    far = np.array([np.where(keep[where[i]], d[i][ids[where[i]]], np.inf).min(axis=1) / best[i] for i in range(len(at))])
+    return max(0.0, float(np.quantile(far, recall)) - 1)
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
 
@@ -201,7 +227,7 @@ def _bundles(held: dict[int, int], n_lists: int, block: int) -> tuple[np.ndarray
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96, max_lists: int = 2048, per_sample: int = 32,
-           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float = 0.28, least: int = 16,
+           replicas: int = 6, slack: float = 0.25, probes: int = 64, ratio: float | None = None, recall: float = 0.96, least: int = 16,
            block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest by inner product of each row whose id is divisible by ``every``, found among all rows.
 
@@ -211,7 +237,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96,
     queries, in blocks of ``query_block``, each is a group of its own, so neither a large list nor a popular one is
     gathered whole, and a query sends on ``k`` vectors a bundle.  Vectors that are null, zero, of a
     length other than the table's most frequent one, or hold null or non-finite components take no part, nor do
-    rows without id.  An empty table gives no rows.
+    rows without id.  Repeated rows count once; rows that share an id are that id's own, so none is found by it, and
+    each of their vectors is a query.  Extra columns are ignored.  An empty table gives no rows.
+
+    Without ``ratio``, it is the one that :func:`fitted_ratio` finds for ``recall`` on the sample, so the share of
+    lists that is searched follows from how far the vectors form clusters (figures in the README).
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -228,6 +258,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, per_list: int = 96,
     picked = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "v").limit(per_sample * n_lists).select("v").collect()
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in picked), dtype=np.float64).reshape(-1, dim)
     lists = build_lists(sample, n_lists, float(np.sqrt(norm2)))
+    if ratio is None:
+        ratio = fitted_ratio(lists, sample, -(-k * len(sample) // n), replicas, slack, recall, least)
     shared = spark.sparkContext.broadcast(vars(lists))  # bounded by max_lists
 
     def into_lists(batches):
