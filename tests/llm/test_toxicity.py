@@ -1,8 +1,10 @@
+import math
 import random
+import zlib
 
 from tests.llm.cases import frame, words
 
-from tideline.llm import toxicity
+from tideline.llm import queries, toxicity
 
 BAD = ("vileword", "nastyword", "rudeword")
 
@@ -51,3 +53,34 @@ def test_out_of_fold_features_and_no_labels(spark):
     chain = toxicity.fit(frame(spark, docs), none, toxicity.CATEGORIES)
     assert all(not r["rejected"] or r["p_toxic"] >= 0.5 for r in toxicity.score(frame(spark, docs), chain).collect())
     assert toxicity.score(frame(spark, []), chain).count() == 0
+
+
+def plain_scores(chain, text):
+    """The chain from its stored weights, word by word."""
+    raw = (text or "").encode()
+    words = set("".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in raw.lower()).encode("latin-1").split())
+    for size in (4, 5, 6):
+        words |= {w[:size] + b"~" for w in words if len(w) >= size and not w.endswith(b"~")}
+    ids = {zlib.crc32(w) for w in words}
+    n = len(raw)
+    dense = [sum(65 <= b <= 90 for b in raw) / n, sum(33 <= b < 127 and not chr(b).isalnum() for b in raw) / n, 0.0] if n else [0.0, 0.0, 1.0]
+    out = []
+    for link in chain.links:
+        z = link.bias + sum(w for i, w in zip(link.words.tolist(), link.weights.tolist()) if i in ids)
+        z += sum(w * x for w, x in zip(link.dense_weights.tolist(), [*dense, *out]))
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_query_matches_a_plain_version(spark, tmp_path):
+    docs, labels = corpus(500)
+    docs += [(5000, None, None, None, None), (5001, "", None, None, None), (None, "vileword " * 3000, None, None, None), docs[7], docs[7]]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((str(r["doc_id"]), r["p_low_quality"], r["p_toxic"], r["rejected"]) for r in queries.op5_toxicity(spark, str(tmp_path)).collect())
+    chain = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), toxicity.CATEGORIES)
+    want = sorted((str(d[0]), *plain_scores(chain, d[1])) for d in docs)
+    assert len(got) == len(want)
+    for ours, plain in zip(got, want):
+        assert ours[0] == plain[0] and abs(ours[1] - plain[1]) < 1e-9 and abs(ours[2] - plain[2]) < 1e-9 and ours[3] == (plain[2] >= 0.5)
+    assert 40 < sum(r[3] for r in got) < 120

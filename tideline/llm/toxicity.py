@@ -68,15 +68,10 @@ class Chain:
         raw = raw or b""
         ids, dense, out = word_ids(raw), surface(raw), []
         for link in self.links:
-            out.append(link.score(ids, [*dense, *map(_logit, out)]))
+            out.append(link.score(ids, [*dense, *out]))
         return out
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-4), 1 - 1e-4)
-    return float(np.log(p / (1 - p)))
-
-
 def _select(bags: list[np.ndarray], y: np.ndarray, most: int, least_df: int) -> np.ndarray:
     """The words whose document frequency differs most between the classes, by the z-score of two proportions."""
     flat = np.concatenate(bags) if bags else np.zeros(0, np.uint32)
@@ -129,7 +124,7 @@ def train_chain(bags: list[np.ndarray], surfaces: list[list[float]], labels: dic
                 most_words: int = 256, least_df: int = 4, l1: float = 5e-4, steps: int = 400) -> Chain:
     """Fit the categories of ``labels`` in their order.
 
-    A later category sees each earlier one's log-odds as given out-of-fold, by models of the other folds, so that it
+    A later category sees each earlier one's probability as given out-of-fold, by models of the other folds, so that it
     doesn't learn to trust scores the earlier model has memorised; the final models use all rows.
     """
     base = np.asarray(surfaces, dtype=np.float64).reshape(len(bags), N_SURFACE)
@@ -149,7 +144,7 @@ def train_chain(bags: list[np.ndarray], surfaces: list[list[float]], labels: dic
                     oof[i] = link.score(bags[i], dense[i].tolist())
         link.held_out = {"accuracy": float(((oof >= 0.5) == (y > 0)).mean()) if len(y) else None}
         links.append(link)
-        dense = np.hstack([dense, np.array([_logit(p) for p in oof]).reshape(-1, 1)])
+        dense = np.hstack([dense, oof.reshape(-1, 1)])
     return Chain(links)
 
 
