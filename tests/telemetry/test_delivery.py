@@ -140,6 +140,48 @@ def test_config_precedence(tmp_path):
             config.load(str(file), {}, bad)
     with pytest.raises(ConfigurationError):
         config.load(None, {}, {}).chosen_sink()
+    assert config.load(None, {}, {"iceberg": {"dry_run": True}}).iceberg is None
     assert "lake.type" in " ".join(app.iceberg.spark_options())
     from tideline.__main__ import main
     assert main(["--config", str(file), "--check"]) == 0 and main(["--config", str(tmp_path / "none.toml"), "--check"]) == 2
+
+
+def test_command_delivers_and_rehearses(spark, tmp_path):
+    from tideline.__main__ import main
+
+    for signal in ("logs", "traces", "metrics"):
+        (tmp_path / "landing/v1" / signal).mkdir(parents=True)
+    (tmp_path / "landing/v1/logs/a.json").write_text(wire.to_json(message(), "logs"))
+    arguments = ["--landing", str(tmp_path / "landing"), "--output", str(tmp_path / "out")]
+    assert main([*arguments[:3], str(tmp_path / "dry"), "--dry-run"]) == 0 and not (tmp_path / "dry/logs").exists()
+    assert main(arguments) == 0
+    assert [r["body"] for r in sinks.read_table(spark, str(tmp_path / "out/logs")).collect()] == ["hello"]
+
+
+def test_pieces_and_quarantine(spark):
+    table = pa.table({"id": list(range(500)), "name": ["x" * 40] * 500})
+    for kind in WireFormat:
+        pieces = list(sinks.pieces_under(table.to_batches(max_chunksize=70), kind, 4000))
+        assert len(pieces) > 4 and all(len(p) <= 4000 for p in pieces)
+    read = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in sinks.pieces_under(table.to_batches(), WireFormat.IPC, 4000)])
+    assert read == table
+    with pytest.raises(StorageError):
+        list(sinks.pieces_under(table.to_batches(), WireFormat.JSON, 20))
+    with pytest.raises(ConfigurationError):
+        Pipeline(spark, "r", "c", {}, engine=Engine(Mode.QUARANTINE))
+
+
+@pytest.mark.parametrize("signal", ["logs", "traces", "metrics"])
+def test_binary_form_round_trip(signal):
+    value = {"arrayValue": {"values": [{"intValue": "-5"}, {"kvlistValue": {"values": [{"key": "k", "value": {"boolValue": True}}]}}, {"bytesValue": "3q0="}]}}
+    attributes = [{"key": "a", "value": value}, {"key": "d", "value": {"doubleValue": "0.1"}}]
+    trees = {
+        "logs": {"resourceLogs": [{"resource": {"attributes": attributes}, "scopeLogs": [{"scope": {"name": "s", "version": "1"}, "logRecords": [
+            {"timeUnixNano": "18446744073709551615", "severityNumber": 9, "body": value, "flags": 1, "traceId": "ab" * 16}]}]}]},
+        "traces": {"resourceSpans": [{"scopeSpans": [{"spans": [{"name": "n" * 300, "kind": 2, "status": {"message": "m", "code": 2}, "attributes": attributes}]}]}]},
+        "metrics": {"resourceMetrics": [{"scopeMetrics": [{"metrics": [
+            {"name": "g", "gauge": {"dataPoints": [{"timeUnixNano": "1", "asInt": "-3"}, {"timeUnixNano": "2", "asDouble": "-0.5"}]}},
+            {"name": "h", "histogram": {"dataPoints": [{"timeUnixNano": "1", "count": "5", "sum": "2.5", "attributes": attributes}]}},
+            {"name": "s", "summary": {"dataPoints": [{"timeUnixNano": "7"}]}}]}]}]},
+    }
+    assert json.loads(wire.to_json(wire.from_json(json.dumps(trees[signal]), signal), signal)) == trees[signal]

@@ -29,11 +29,13 @@ def main(argv: list[str] | None = None) -> int:
     from tideline.schemas import SIGNALS
     from tideline.streaming.pipeline import Pipeline
     from tideline.streaming.sinks import LoadSink, QueueSink, TableSink
+    from tideline.streaming.telemetry import Settings, report
 
     spark = SparkSession.builder.appName("tideline").getOrCreate()
-    lake = app.iceberg or config.IcebergConfig()
+    lake = app.iceberg or config.IcebergConfig(logs_table="logs", traces_table="traces", metrics_table="metrics")
+    report(spark, Settings(**{k: v for k, v in app.telemetry.items() if k in Settings.__dataclass_fields__}))
     make = {
-        "files": lambda s: TableSink(s, path=f"{args.output}/{s}", granularity=lake.partition_granularity, dry_run=lake.dry_run),
+        "files": lambda s: TableSink(s, path=f"{args.output}/{s}", granularity=lake.partition_granularity, dry_run=args.dry_run),
         "iceberg": lambda s: TableSink(s, table=lake.table_for(s), mode=lake.schema_mode, dry_run=lake.dry_run, log_dropped=lake.log_dropped_fields),
         "kafka": lambda s: QueueSink(app.kafka.brokers, app.kafka.topic, app.kafka.format, app.kafka.options, per_batch=True),
         "starrocks": lambda s: LoadSink(app.starrocks.load_config(), s, "tideline"),

@@ -171,7 +171,8 @@ def load(path: str | None = None, environ: dict[str, str] | None = None, argumen
     elif path:
         raise ConfigurationError(f"no such file: {path}")
     values = merge(values, from_environment(os.environ if environ is None else environ, prefix))
-    values = merge(values, arguments or {})
+    # a dry run is asked of tables that are configured; it doesn't configure any
+    values = merge(values, {k: v for k, v in (arguments or {}).items() if k in values or v != {"dry_run": True}})
     return AppConfig(values["pipeline"], values["server"], values["telemetry"], _section(IcebergConfig, values.get("iceberg")),
                      _section(KafkaConfig, values.get("kafka")), _section(StarRocksConfig, values.get("starrocks")), values.get("sink"))
 
