@@ -103,3 +103,11 @@ def test_keep_first_keeps_one_row_of_a_class_without_ids(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["root"] for r in connected_components(edges).collect()} == {0}
+
+
+def test_keep_first_judges_each_text_of_an_id(spark):
+    rng = random.Random(5)
+    a, b = (words(rng, 400) for _ in range(2))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (1, a, "en", "s", 1)]
+    kept = simhash.keep_first(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b)])

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable, scratch_path
+from tideline.llm._shared import durable
+from tideline.session import scratch_path, ship_package
 
 WIDTH = 576
 PAD = b"\xff"
@@ -129,6 +130,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
                 out.write(b"\0" * 1024)
                 out.close()
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, MANIFEST)
 
@@ -230,7 +232,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every text, read it back and return the manifest with metadata columns and features.
 
     Null text is stored as empty text (one line of bytes 255).  Equal texts share one digest and one set of values;
-    repeated rows stay; ids may be null; an empty table gives no rows.  Two texts that differ only in bytes 255 at
+    repeated rows stay; ids may be null; very long texts are one image each; extra columns are ignored; an empty table
+    gives no rows.  Two texts that differ only in bytes 255 at
     the end can't occur, as UTF-8 has no such byte.
     """
     root = root or scratch_path(docs.sparkSession, "shards")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import ship_package
+
 END_ID = 1
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, loss_tokens long")
@@ -189,6 +191,7 @@ def pack(docs: DataFrame, vocab: str, ranks: str | None = None, id_col: str = "d
     Repeated rows are documents of their own; ids may be null; very long texts are cut; extra columns are ignored; an
     empty table gives no rows.  A limit on loss below ``max_tokens - 1`` is kept by shorter sequences.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -225,6 +228,7 @@ def pack_conversations(turns: DataFrame, max_tokens: int = 2048, max_segments: i
 
     Items over a limit get ``bin_id`` null.  Items are dealt to groups of about ``group`` by their hash.
     """
+    ship_package(turns.sparkSession)
     fit = ((F.col("tokens") <= max_tokens) & (F.col("segments") <= max_segments)
            & (F.col("loss_tokens") <= max_loss) & (F.col("tokens") > 0))
     rows = turns.select("item_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
@@ -253,6 +257,7 @@ def conversation_items(turns: DataFrame, vocab: str, ranks: str | None = None) -
     A turn is a segment, its ids and id 1; only those of the assistant bear loss.  Null text is empty text; turns
     without conv_id are left out; repeated rows are turns of their own; an empty table gives no rows.
     """
+    ship_package(turns.sparkSession)
     rows = turns.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))

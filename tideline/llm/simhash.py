@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm._shared import durable, only_chosen, text_digest
 from tideline.llm.components import connected_components
+from tideline.session import ship_package
 
 HASH_SEED = 42
 LOW_BITS = np.uint64(0x0101010101010101)
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "th", "fp"])
 
+    ship_package(docs.sparkSession)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text).alias("th"), text.cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, fp long")
@@ -151,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents of one fingerprint are one class and are never paired with each other.  Empty and null texts all have
     fingerprint 0 and link like any other.  Rows with a null doc_id keep it and get their class's smallest known id.
-    Repeated rows come out as often as they went in; extra columns are ignored; an empty table gives no rows.
+    Repeated rows come out as often as they went in; very long texts are read whole; extra columns are ignored; an
+    empty table gives no rows.
     """
     rows, labelled = _classes(docs, id_col, text_col, shingle, max_bits)
     return rows.join(labelled, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import ship_package
+
 #: ASCII bytes other than letters end a word; bytes of other scripts belong to it.
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _UPPER = bytes(range(65, 91))
@@ -155,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample:
     ``categories`` maps names, in chain order, to SQL expressions over ``labels``.  Labels null in a category or
     given twice for one id with different values are left out.
     """
+    ship_package(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"),
                           *[F.expr(e).cast("int").alias(f"_y{i}") for i, e in enumerate(categories.values())])
     known = known.dropna().distinct()
@@ -190,8 +193,10 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id``, one probability per category and ``rejected`` (the last category reaches ``threshold``).
 
-    Null texts are scored as empty; every row gets a score; repeated rows stay; extra columns are ignored.
+    Null texts are scored as empty, very long ones whole; every row gets a score; repeated rows stay; ids may be null;
+    extra columns are ignored; an empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     names = [f"p_{n}" for n in chain.names]
 
     def run(batches):
@@ -208,6 +213,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that the last category doesn't reject, with their columns as they were."""
 
+    ship_package(docs.sparkSession)
+
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         return pa.array([chain.predict(t.as_py())[-1] < threshold for t in texts.cast(pa.binary())], pa.bool_())
