@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._shared import durable
+from tideline.llm._shared import durable, release
 from tideline.session import scratch_path, ship_package
 
 WIDTH = 576
@@ -243,7 +243,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = max(1, places.rdd.getNumPartitions())
     by_place = places.repartitionByRange(4 * n, "shard", "offset") if places.take(1) else places
     # a written table has plain shuffles under the join, so a frequent text can be split
-    known = durable(read_features(read_metadata(by_place, root), root), "media-known")
+    known = read_features(read_metadata(by_place, root), root)
+    digests = ("payload_sha256", "text_sha256")
+    known = durable(known.drop("media_sha256").withColumns({c: F.unhex(c) for c in digests}), "media-known")  # half as long
+    release(places)
+    known = known.withColumns({c: F.lower(F.hex(c)) for c in digests}).withColumn("media_sha256", F.col("digest"))
     return manifest.select("doc_id", "n_bytes", "digest", "shard", "offset", "length").join(known, "digest")
 
 
