@@ -43,7 +43,12 @@ def test_stages_and_run(spark, tmp_path):
     gone = {r[0] for r in rows} - {r[0] for r in left}
     assert gone == {i for i, _, t in labels if t}
 
-    stages = dict(corpus_pipeline.STAGES)
+    def written(df, name):
+        """As the pipeline does: each stage's result is a table that the next one reads."""
+        df.write.parquet(f"{tmp_path}/stage-{name}")
+        return spark.read.parquet(f"{tmp_path}/stage-{name}")
+
+    stages = {name: lambda *a, name=name, f=f: written(f(*a), name) for name, f in corpus_pipeline.STAGES}
     assert list(stages) == ["toxicity", "simhash", "secrets", "mixing", "packing"]
     docs = stages["toxicity"](spark, docs, str(tmp_path))
     assert sorted(r[0] for r in docs.collect()) == sorted(r[0] for r in left)
